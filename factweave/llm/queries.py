@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import encoding, neighbours, packing
+from factweave.llm import encoding, language, neighbours, packing
 from factweave.sources.tables import table
 
 
@@ -21,7 +21,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", "text", bins)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_containers)}
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_languages(spark, d).where("differs").select("doc_id", "cue_pos", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p7_ids, p8_containers, p9_found, p9_languages)}
 SQL: dict[str, str] = {
     "p1_found": """
         with valid as (
