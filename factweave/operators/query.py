@@ -28,8 +28,8 @@ def query(facts: Facts, find: Sequence[str] = (), where: Sequence[object] = (),
     ok, env = compile_clauses(where, facts, {"?e": (F.lit(True), facts.entity())})
     rows = facts.df.where(F.lit(False) if contradicts(where) else ok)
     for rule in (c for c in where if isinstance(c, RuleCall)):
-        names = category_in_tree(edges, rule.root)
-        rows = rows.join(names, _value(env, rule.var).text == names["name"], "left_semi")
+        names = category_in_tree(edges, rule.root).withColumnRenamed("name", "__allowed")
+        rows = rows.join(names, _value(env, rule.var).text == F.col("__allowed"), "left_semi")
     if not aggregates:
         return rows.select(*[_value(env, v).out().alias(v.lstrip("?")) for v in find])
     keys = [_value(env, v).out().alias(v.lstrip("?")) for v in group_by]

@@ -407,7 +407,7 @@ def oplog_append(spark: SparkSession, d: str) -> DataFrame:
 @registered("""select entity_id, record_id, attribute, arg_max(value, ord) as value from (
     select 'events' as entity_id, cast(user_id as varchar) as record_id, unnest(['type', 'value']) as attribute, unnest([event_type, cast(cast(value as decimal(18, 2)) as varchar)]) as value, event_id as ord from events) group by all""")
 def assert_merge(spark: SparkSession, d: str) -> DataFrame:
-    pairs = F.inline(F.array(F.struct(F.lit("type").alias("attribute"), F.col("event_type").alias("value")), F.struct(F.lit("value"), F.col("value").cast("decimal(18,2)").cast("string"))))
+    pairs = F.inline(F.array(F.struct(F.lit("type").alias("attribute"), F.col("event_type").alias("value")), F.struct(F.lit("value").alias("attribute"), F.col("value").cast("decimal(18,2)").cast("string").alias("value"))))
     facts = table(spark, d, "events").select(F.lit("events").alias("entity_id"), F.col("user_id").cast("string").alias("record_id"), F.col("event_id").alias("ord"), pairs)
     return store.assert_facts(facts, "ord")
 
