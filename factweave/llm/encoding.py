@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.bpe import Encoder, Vocabulary
+from factweave.plans.spread import spread
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
@@ -56,8 +57,8 @@ def encode(documents: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
     """``key, ids`` of each row, without special tokens; an empty list for an empty or a null text.
 
     Whole texts are encoded, of any length; rows with equal or null keys stay separate rows; other columns are ignored.
-    Nothing is shuffled: a task encodes the rows it reads.
+    Nothing is shuffled, unless the table has fewer partitions than there are cores: a task encodes the rows it reads.
     """
     kind = dict(documents.dtypes)[key]
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text")))
     return rows.mapInArrow(_encode_udf(vocabulary, folder), f"key {kind}, ids array<int>").withColumnRenamed("key", key)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.plans.spread import spread
+
 #: The languages and what labels call them.
 LANGUAGES = {
     "da": ("dan", "danish"), "de": ("deu", "ger", "german"), "en": ("eng", "english"), "es": ("spa", "spanish"),
@@ -286,11 +288,13 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
         c = np.bincount(gram, share[of_word] * weights, len(index))
         return c / max(np.linalg.norm(c), 1e-9)
 
-    def scores(centroids: np.ndarray) -> np.ndarray:
-        columns = []
+    def scores(centroids: np.ndarray, cues: np.ndarray | None = None) -> np.ndarray:
+        """Cosines of all cues, or of those in ``cues`` with 0 for the others."""
+        use = slice(None) if cues is None else cues[cue]
+        own_cue, own_word, columns = cue[use], word[use], []
         for c in centroids:
             rows = np.bincount(of_word, weights * c[gram], len(vocabulary))
-            columns.append(np.bincount(cue, rows[word], n) / length)
+            columns.append(np.bincount(own_cue, rows[own_word], n) / length)
         return np.stack(columns, 1)
 
     weights = length = np.zeros(0)
@@ -317,13 +321,13 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
             continue
         have = [centroid(own)]
         for _ in range(CENTROIDS - 1):  # then new ones where those before are far
-            s = scores(np.stack(have)).max(1)
+            s = scores(np.stack(have), own).max(1)
             far = own & (s <= np.quantile(s[own], 0.03))
             have.append(centroid(far))
             for _ in range(3):
-                nearest = scores(np.stack(have)).argmax(1)
+                nearest = scores(np.stack(have), own).argmax(1)
                 have = [centroid(own & (nearest == j)) if (own & (nearest == j)).any() else have[j] for j in range(len(have))]
-        usual.append(np.median(scores(np.stack(have)).max(1)[own]))
+        usual.append(np.median(scores(np.stack(have), own).max(1)[own]))
         centroids += have
         of += [i] * len(have)
     names = {g: j for j, g in enumerate(sorted((g for g, i in index.items() if idf[i] > 0), key=index.__getitem__))}
@@ -362,10 +366,8 @@ def _classify_udf(model):
 
 def sample(documents: DataFrame, files: int = SAMPLE_FILES) -> list[tuple[str, str]]:
     """(label, text) of ``files`` labelled files at most, those whose ids have the least hashes."""
-    named = F.udf(lambda x: label_language(x) is not None, "boolean")
     labels = [r.lang for r in documents.select("lang").distinct().where("lang is not null").limit(10_000).collect()]
     known = [x for x in labels if label_language(x)]
-    del named
     order = F.xxhash64(F.col("doc_id"))
     few = documents.where(F.col("lang").isin(known) & F.col("text").isNotNull()).select(order.alias("h")).orderBy("h").limit(files).agg(F.max("h")).first()[0]
     if few is None:
@@ -389,4 +391,5 @@ def languages(documents: DataFrame, model: Model | None = None, files: int = SAM
     if model is None:
         return spark.createDataFrame([], ddl)
     shared = spark.sparkContext.broadcast(model)
-    return documents.select(F.col("doc_id").cast("bigint"), "lang", "text").where("text is not null").mapInArrow(_classify_udf(shared), ddl)
+    rows = spread(documents.select(F.col("doc_id").cast("bigint"), "lang", "text").where("text is not null"))
+    return rows.mapInArrow(_classify_udf(shared), ddl)

@@ -86,15 +86,16 @@ def build_tree(points: np.ndarray, depth: int) -> list[np.ndarray]:
 
 def reach(levels: list[np.ndarray], points: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, cell, home) for every cell whose box lies within ``radius`` of the row's projections, and the row's own."""
-    row, cell, gap = np.arange(len(points)), np.zeros(len(points), np.int64), np.zeros(len(points))
+    row, cell, gap, home = np.arange(len(points)), np.zeros(len(points), np.int64), np.zeros(len(points)), np.ones(len(points), bool)
     for level, cuts in enumerate(levels):
         off = points[row, level] - cuts[cell]
         far = gap + off**2
-        cross = far <= radius[row] ** 2
+        cross = (far <= radius[row] ** 2) & (radius[row] >= 0)
         side = (off > 0).astype(np.int64)
         row, gap = np.concatenate([row, row[cross]]), np.concatenate([gap, far[cross]])
+        home = np.concatenate([home, np.zeros(cross.sum(), bool)])
         cell = np.concatenate([2 * cell + side, 2 * cell[cross] + 1 - side[cross]])
-    return row, cell, gap == 0
+    return row, cell, home
 
 
 def _order(points: np.ndarray, leaf: int) -> list[np.ndarray]:
@@ -234,7 +235,7 @@ def _groups(b: pa.RecordBatch, names: list[str]):
     return by.items()
 
 
-def _cells_udf(trees, sure: float, home_only: bool, away_only: bool):
+def _cells_udf(trees, sure: float, home_only: bool):
     def run(batches):
         for b in batches:
             for (entity, scope, cosine), rows in _groups(b, [*SCOPE, "cosine"]):
@@ -245,8 +246,8 @@ def _cells_udf(trees, sure: float, home_only: bool, away_only: bool):
                 if levels:
                     v = _scaled(_matrix(own.column(own.schema.get_field_index("v"))), cosine)
                     limit = own.column(own.schema.get_field_index("near_limit")).to_numpy(zero_copy_only=False).astype(np.float64)
-                    width = 0.0 if home_only else math.sqrt(chi_square_bound(len(levels), sure))
-                    row, cell, home = reach(levels, v @ projection(v.shape[1], MAX_DEPTH)[:, : len(levels)], _radius(limit, cosine) * width)
+                    radius = np.full(n, -1.0) if home_only else _radius(limit, cosine) * math.sqrt(chi_square_bound(len(levels), sure))
+                    row, cell, home = reach(levels, v @ projection(v.shape[1], MAX_DEPTH)[:, : len(levels)], radius)
                 if home_only:
                     row, cell, home = row[home], cell[home], home[home]
                 for s in range(0, len(row), 4096):
@@ -287,7 +288,7 @@ def _nearest_reps(reps: DataFrame, k: int, cell_rows: int, sure: float) -> DataF
     """Up to k neighbours of each representative; where ``near_limit`` is infinite, the first round finds a limit."""
     trees = _trees(reps, cell_rows)
     ddl = "entity_id string, scope_name string, vec_id string, v array<float>, cosine boolean, near_limit double, cell bigint, home boolean"
-    cells = lambda df, home_only: df.mapInArrow(_cells_udf(trees, sure, home_only, False), ddl)
+    cells = lambda df, home_only: df.mapInArrow(_cells_udf(trees, sure, home_only), ddl)
     find = lambda df, skip: df.groupBy(*SCOPE, "cell").applyInArrow(_search_udf(k, sure, skip), NEAR)
     unlimited = reps.where("near_limit = double('infinity')")
     if not trees or unlimited.isEmpty():

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from factweave.llm.encoding import TOKENIZERS, encoder
 from factweave.plans.shared import cut
+from factweave.plans.spread import spread
 
 #: A container is nearly full if what is left is at most this share of its capacity.
 NEARLY = 1 / 64
@@ -129,7 +130,7 @@ def pack(documents: DataFrame, key: str, text: str, capacities: dict[str, int],
     over all capacities. Equal or null keys stay separate texts. Other columns are ignored.
     """
     capacities = {k: int(c) for k, c in capacities.items() if c and c > 0}
-    rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     rounds = [cut(rows.mapInArrow(_first_udf(capacities, vocabulary, folder, False), DDL), "pack")]
     tasks, left = rows.rdd.getNumPartitions(), None
     while True:
