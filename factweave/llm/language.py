@@ -30,7 +30,7 @@ CODES = list(LANGUAGES)
 NAMED = {n: code for code, names in LANGUAGES.items() for n in (code, *names)}
 
 #: Labelled files the centroids are fitted on at most, centroids per language, n-grams kept.
-SAMPLE_FILES, CENTROIDS, FEATURES = 1500, 8, 80_000
+SAMPLE_FILES, CENTROIDS, FEATURES = 1500, 12, 80_000
 #: Weight of an n-gram that all languages use alike, against 1 more for one that a single language uses.
 SHARED = 0.05
 #: Lead of another language, as a share of its cosine, from which on a training cue isn't taken to be of its file's label.
@@ -38,7 +38,7 @@ CONTRADICTION = 0.3
 #: A cue nearer than this share of the training cues' usual cosine to no centroid has no language.
 REJECT = 0.35
 #: By how much a foreign language must beat the file's own, as a share of its cosine, alone and beside cues of the same.
-MARGIN, MARGIN_BESIDE = 0.25, 0.06
+MARGIN, MARGIN_BESIDE = 0.2, 0.04
 #: Lead of the nearest language, as a share of its cosine, under which the sentences of a cue vote.
 UNSURE = 0.6
 CACHE_WORDS = 300_000
