@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, unless their Python finds it where the driver's does."""
+    sc, root = spark.sparkContext, os.path.dirname(PACKAGE)
+    path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if sc.master.startswith("local-cluster"):
+        found = root in path
+    else:
+        found = sc.master.startswith("local") and (root in path or os.getcwd() == root)
+    if found or sc.applicationId in _shipped:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="factweave-"), "factweave.zip")  # the driver serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(PACKAGE):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), root))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``; one file or a folder of part files."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
