@@ -30,7 +30,9 @@ CODES = list(LANGUAGES)
 NAMED = {n: code for code, names in LANGUAGES.items() for n in (code, *names)}
 
 #: Labelled files the centroids are fitted on at most, centroids per language, n-grams kept.
-SAMPLE_FILES, CENTROIDS, FEATURES = 1500, 12, 80_000
+SAMPLE_FILES, CENTROIDS, FEATURES = 1500, 8, 80_000
+#: Rounds that add a centroid to each language whose cues others come too near.
+REPAIRS = 8
 #: Weight of an n-gram that all languages use alike, against 1 more for one that a single language uses.
 SHARED = 0.05
 #: Lead of another language, as a share of its cosine, from which on a training cue isn't taken to be of its file's label.
@@ -330,6 +332,23 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
         usual.append(np.median(scores(np.stack(have), own).max(1)[own]))
         centroids += have
         of += [i] * len(have)
+    # At last new ones for cues of trusted files that another language's centroids are as near to.
+    near, of = scores(np.stack(centroids)), list(of)
+    for _ in range(REPAIRS):
+        by = np.stack([near[:, np.flatnonzero(np.array(of) == i)].max(1) if i in of else np.full(n, -1.0) for i in present], 1)
+        own = by[np.arange(n), np.searchsorted(present, label)]
+        by[np.arange(n), np.searchsorted(present, label)] = -1
+        close = good & (by.max(1) >= own * (1 - MARGIN))
+        new = []
+        for i in present:
+            cues = close & (label == i)
+            if cues.sum() >= max(3, 0.001 * (good & (label == i)).sum()):
+                like = scores(centroid(cues)[None], cues)[:, 0]
+                new.append(centroid(cues & (like >= np.quantile(like[cues], 0.6))))
+                of.append(i)
+        if not new:
+            break
+        near, centroids = np.concatenate([near, scores(np.stack(new))], 1), centroids + new
     names = {g: j for j, g in enumerate(sorted((g for g, i in index.items() if idf[i] > 0), key=index.__getitem__))}
     columns = np.array([index[g] for g in names])
     return Model(names, idf[columns].astype(np.float32), np.stack(centroids)[:, columns].astype(np.float32), np.array(of), float(np.mean(usual)))
