@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from factweave.operators.cdc import CurrentState
 
 KEYS = ["entity_id", "doc_id"]
+#: Rows of one DataFrame that a stream's step puts out.
+ROWS_OUT = 10_000
 
 
 def classify(writes: DataFrame) -> DataFrame:
@@ -87,27 +89,40 @@ def follow(feed: DataFrame, state: CurrentState, checkpoint: str) -> StreamingQu
 
 
 def classify_stream(feed: DataFrame) -> DataFrame:
-    """:func:`classify` for a stream of writes that arrives in the order of ``seq``: the state of a document is its last body."""
+    """:func:`classify` for a stream of writes that arrives in the order of ``seq``, in any order within a micro-batch.
+
+    The state of a document is its last body and the ``seq`` of each write applied, 8 bytes a write; a write given again
+    is dropped. One that comes after a later write of its document in an earlier micro-batch can't be classified any more:
+    it raises. A micro-batch's writes of one document are held in its task's memory, as Spark gives them in no order.
+    """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    columns = ["seq", *KEYS, "kind", "old_doc", "new_doc"]
+
     def step(key, batches, state: GroupState):
-        old, seen = state.get if state.exists else (None, -1)
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values("seq").itertuples():
-                if r.seq <= seen:
-                    continue
-                seen, gone = r.seq, bool(r.gone)
-                if not gone or old is not None:
-                    out.append((r.seq, *key, "retract" if gone else "assert" if old is None else "change", old, None if gone else r.body))
-                old = None if gone else r.body
-            yield pd.DataFrame(out, columns=["seq", *KEYS, "kind", "old_doc", "new_doc"])
-        state.update((old, int(seen)))
+        old, before = state.get if state.exists else (None, b"")
+        applied = np.frombuffer(before, np.int64)  # ascending
+        writes = pd.concat(list(batches), ignore_index=True).drop_duplicates("seq").sort_values("seq")
+        writes = writes[~writes["seq"].isin(applied)]
+        if len(applied) and len(writes) and writes["seq"].iloc[0] < applied[-1]:
+            raise ValueError(f"write {writes['seq'].iloc[0]} of {key} came after write {applied[-1]}")
+        out = []
+        for r in writes.itertuples():
+            gone = bool(r.gone)
+            if not gone or old is not None:
+                out.append((r.seq, *key, "retract" if gone else "assert" if old is None else "change", old, None if gone else r.body))
+            old = None if gone else r.body
+            if len(out) == ROWS_OUT:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
+        state.update((old, np.concatenate([applied, writes["seq"].to_numpy(np.int64)]).tobytes()))
 
     gone = F.coalesce("deleted", F.lit(False)).alias("gone")
     rows = feed.where("seq is not null and entity_id is not null and doc_id is not null").select("seq", *KEYS, gone, F.coalesce("body", F.lit("")).alias("body"))
-    return rows.groupBy(*KEYS).applyInPandasWithState(step, "seq bigint, entity_id string, doc_id string, kind string, old_doc string, new_doc string", "old string, seen bigint", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*KEYS).applyInPandasWithState(step, "seq bigint, entity_id string, doc_id string, kind string, old_doc string, new_doc string", "old string, applied binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def session_stream(events: DataFrame, keys: list[str], at: str, gap: str, late: str) -> DataFrame:

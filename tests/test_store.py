@@ -296,3 +296,27 @@ def test_streams(spark, tmp_path):
     live = feed.classify_stream(spark.readStream.schema(LOG).parquet(str(tmp_path / "writes")))
     live.writeStream.format("memory").queryName("classified").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.table("classified")) == rows(feed.classify(writes))
+
+
+def classified(spark, tmp_path, batches):
+    """What classify_stream puts out for micro-batches of files of writes."""
+    for batch in batches:
+        for part in batch:
+            spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live = feed.classify_stream(spark.readStream.schema(LOG).parquet(str(tmp_path / "in")))
+        live.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_stream_of_one_hot_document(spark, tmp_path):
+    writes = [(i, "t", "hot", i % 7 == 0, f"b{i}") for i in range(-2, 25_000)]
+    random.Random(1).shuffle(writes)
+    first, rest = [w for w in writes if w[0] < 24_000], [w for w in writes if w[0] >= 24_000]
+    batches = [[first[k::4] for k in range(4)], [rest, first[:50]]]  # the second gives some writes again
+    got = classified(spark, tmp_path, batches)
+    assert rows(got) == rows(feed.classify(spark.createDataFrame(writes, LOG)))
+
+
+def test_stream_out_of_order_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="came after write 5"):
+        classified(spark, tmp_path, [[[(5, "t", "a", False, "x")]], [[(3, "t", "a", False, "y")]]])
