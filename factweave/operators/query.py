@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factweave.operators.closure import category_in_tree
-from factweave.plans.clauses import Aggregate, Env, Facts, RuleCall, Value, anchors, compile_clauses, contradicts
+from factweave.plans.clauses import Aggregate, Env, Facts, RuleCall, Value, anchors, compile_clauses, contradicts, top_level
 
 FUNCTIONS = ("count", "sum", "total", "avg", "min", "max")
 
@@ -67,12 +67,20 @@ def query_as_of(versions: DataFrame, at_ns: int, make_facts, **request) -> DataF
 
 
 def pull(facts: Facts, attributes: Sequence[str] | str, where: Sequence[object]) -> DataFrame:
-    """``doc_id, pulled``: the named attributes that are there (``"*"``: all) of each matching document, as JSON text."""
+    """``doc_id, pulled``: the named attributes that are there (``"*"``: all) of each matching document, as JSON text.
+
+    An attribute that is null in a JSON body is there. ``"*"`` over bodies gives the body, and no other columns.
+    """
     if attributes != "*" and any("{" in a for a in attributes):
         raise ValueError("nested pull patterns aren't supported")
     if not anchors(where):
         raise ValueError("the query needs a pattern with an attribute and a literal")
     ok, _ = compile_clauses(where, facts, {"?e": (F.lit(True), facts.entity())})
-    names = list(facts.columns) if attributes == "*" else list(attributes)
-    fields = [facts.columns[n].alias(n) for n in names if n in facts.columns]
-    return facts.df.where(ok).select(F.col(facts.doc_id).alias("doc_id"), F.to_json(F.struct(*fields)).alias("pulled"))
+    if attributes == "*" and facts.variant is not None:
+        pulled = F.to_json(facts.variant)
+    else:
+        body = None if facts.variant is None else top_level(facts.variant)
+        names = list(facts.columns) if attributes == "*" else list(dict.fromkeys(attributes))
+        known = {n: facts.columns[n] if n in facts.columns else F.try_element_at(body, F.lit(n)) for n in names if n in facts.columns or body is not None}
+        pulled = F.to_json(F.struct(*[c.alias(n) for n, c in known.items()]))
+    return facts.df.where(ok).select(F.col(facts.doc_id).alias("doc_id"), pulled.alias("pulled"))

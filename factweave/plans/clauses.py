@@ -144,6 +144,18 @@ def in_json(variant: Column, attr: str) -> tuple[Column, Value]:
         items=F.transform(F.filter(listed, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string")))
 
 
+def top_level(variant: Column) -> Column:
+    """The attributes of a parsed body as a map from names to variants; NULL for what is no object."""
+    return F.try_variant_get(variant, "$", "map<string,variant>")
+
+
+def any_text_in_json(variant: Column, test) -> Column:
+    """Whether a string, or a string element of a list, among the top-level values of a parsed body passes ``test``."""
+    text = lambda v: sure(test(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))))
+    listed = lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    return sure(F.exists(F.map_values(top_level(variant)), lambda v: text(v) | sure(F.exists(listed(v), text))))
+
+
 @dataclass(frozen=True)
 class Facts:
     """Documents of one tenant: a DataFrame, its id column, and its attributes as typed columns or in a parsed body."""
@@ -252,7 +264,11 @@ def compile_clauses(clauses: Sequence[object], facts: Facts, env: Env) -> tuple[
         elif isinstance(c, FullText):
             names = [c.attr] if c.attr else list(facts.columns)
             text = F.lower(F.lit(c.text))
-            ok = ok & (reduce(lambda a, b: a | b, [_texts(facts.attribute(n)[1], lambda x: F.lower(x).contains(text)) for n in names], F.lit(False)) if c.text else F.lit(False))
+            has = lambda x: F.lower(x).contains(text)  # noqa: B023, E731
+            tests = [_texts(facts.attribute(n)[1], has) for n in names]
+            if not c.attr and facts.variant is not None:
+                tests.append(any_text_in_json(facts.variant, has))
+            ok = ok & (reduce(lambda a, b: a | b, tests, F.lit(False)) if c.text else F.lit(False))
         elif not isinstance(c, RuleCall):
             raise ValueError(f"unknown clause {type(c).__name__}")
     return sure(ok), env

@@ -1,14 +1,18 @@
 """The store's operators on small fixtures with known results and against plain Python."""
 
+import json
+import os
 import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from factweave.functions.bodies import parse
 from factweave.operators import closure, lookup, store, temporal, vectors
 from factweave.operators.cdc import CurrentState
 from factweave.operators.query import pull, query, query_as_of
+from factweave.operators.store import as_of
 from factweave.plans.clauses import Aggregate, Facts, FullText, Lit, Not, Or, Pattern, Predicate, RuleCall
 from factweave.plans.shared import fresh_dir
 from factweave.sources.views import body_facts
@@ -136,6 +140,45 @@ def test_pull_and_rules(spark):
     assert ids(closure.ancestors(cycle, "a")) == ["b"]
 
 
+BODIES = {
+    "1": '{"type":"item","note":"The Crane","parts":["bolt",7,{"x":"deep"}],"km":45000,"open":true,"nil":null}', "2": '{"type":"item","notes":"no cranes","a.b":1.5}',
+    "3": '{"type":"item","parts":["CRANE"],"in":{"note":"bolt"}}', "4": '{"type":"item"}', "5": "crane", "6": '["crane"]', "7": '"crane"', "8": None,
+}
+
+
+@pytest.mark.parametrize("text,want", [("crane", "123"), ("bolt", "1"), ("deep", ""), ("4500", ""), ("note", ""), ("item", "1234"), ("true", ""), ("", "")])
+def test_fulltext_any_of_bodies(spark, text, want):
+    where = [Pattern("?e", "type", "item"), FullText(text)]
+    assert sorted(str(int(r.e)) for r in query(body_facts(docs(spark, BODIES)), ["?e"], where).select(F.col("e").cast("double").alias("e")).collect()) == list(want)
+    v = docs(spark, BODIES).select(F.lit(1).alias("seq"), "entity_id", "doc_id", F.lit(1).alias("at_ns"), F.lit(False).alias("deleted"), "body")
+    assert query_as_of(v, 5, body_facts, find=["?e"], where=[FullText(text)]).count() == len(want)
+
+
+def test_pull_of_bodies(spark):
+    f, where = body_facts(docs(spark, BODIES)), [Pattern("?e", "type", "item")]
+    got = {r.doc_id: json.loads(r.pulled) for r in pull(f, "*", where).collect()}
+    assert got == {k: json.loads(BODIES[k]) for k in "1234"}
+    names = ["km", "nil", "a.b", "in", "parts", "it's?", "km"]
+    got = {r.doc_id: json.loads(r.pulled) for r in pull(f, names, where).collect()}
+    assert got == {k: {n: v for n, v in json.loads(BODIES[k]).items() if n in names} for k in "1234"}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test data")
+def test_bodies_of_doc_version(spark):
+    current = as_of(spark.read.parquet("/root/testdata/sf0.01/doc_version.parquet"))
+    own = {}
+    for r in current.collect():
+        is_json, body = parse(r.body or "")
+        if is_json and isinstance(body, dict) and body.get("status") == "active":
+            own[(r.entity_id, r.doc_id)] = body
+    texts = lambda v: [v] if isinstance(v, str) else [x for x in v if isinstance(x, str)] if isinstance(v, list) else []
+    f, active = body_facts(current), Pattern("?e", "status", "active")
+    assert query(f, ["?e"], [active, FullText("HAUL")]).count() == sum(any("haul" in x.lower() for v in b.values() for x in texts(v)) for b in own.values()) > 0
+    key = lambda x: sorted(json.dumps(b, sort_keys=True) for b in x)
+    assert key(parse(r.pulled)[1] for r in pull(f, "*", [active]).collect()) == key(own.values())
+    assert key(parse(r.pulled)[1] for r in pull(f, ["km", "status"], [active]).collect()) == key({k: v for k, v in b.items() if k in ("km", "status")} for b in own.values())
+
+
 def test_versions(spark):
     v = spark.createDataFrame([(1, "t", "501", 10, False, '{":s":"active"}'), (2, "t", "501", 20, None, '{":s":"retired"}'), (3, "t", "x", 5, False, "1"), (4, "t", "x", 6, True, None), (5, "t", "n", None, False, "1")], V)
     where = [Pattern("?e", ":s", "active")]
