@@ -347,6 +347,11 @@ def vector_knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return _knn(spark, d, "cast(vec_id as bigint) % 20 = 0", "euclidean")
 
 
+@registered(_knn_sql("1 - list_cosine_similarity(q.v, x.v)", "vec_id % 20 = 0"))
+def vector_cosine_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d, "cast(vec_id as bigint) % 20 = 0", "cosine")
+
+
 _LAST_WRITE = "(select * from vec_data where op in ('put', 'delete') and (op = 'delete' or v is not null) qualify row_number() over (partition by entity_id, scope_name, vec_id order by row_no desc) = 1)"
 
 

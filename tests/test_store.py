@@ -4,10 +4,12 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from factweave import reference_queries
 from factweave.functions.bodies import parse
 from factweave.operators import closure, lookup, store, temporal, vectors
 from factweave.operators.cdc import CurrentState
@@ -307,6 +309,18 @@ def test_vectors(spark):
     assert [x.count() for x in vectors.drop_scope(stored, registry, "t", "s")] == [0, 0]
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test data")
+def test_cosine_over_the_query_set(spark):
+    got = [(r.query_id, r["rank"], r.vec_id, r.distance) for r in reference_queries.QUERIES["vector_cosine_batch"](spark, "/root/testdata/sf0.01").collect()]
+    by = {str(r.vec_id): np.array(r.embedding, np.float64) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()}
+    names, x = list(by), np.array(list(by.values()))
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    queries = [n for n in names if int(n) % 20 == 0]
+    assert len(queries) > 1 and {(q, k) for q, k, _, _ in got} == {(q, k) for q in queries for k in range(1, 11)} and len(got) == 10 * len(queries)
+    near = {q: np.sort(1 - x @ x[names.index(q)]) for q in queries}
+    assert all(abs(d - near[q][k - 1]) < 2e-5 and abs(d - (1 - x[names.index(q)] @ x[names.index(v)])) < 2e-5 for q, k, v, d in got)
+
+
 LOG = "seq bigint, entity_id string, doc_id string, deleted boolean, body string"
 
 
