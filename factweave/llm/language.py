@@ -47,9 +47,13 @@ CACHE_WORDS = 300_000
 
 TIME_LINE = re.compile(r"^[^\n]*-->[^\n]*", re.M)
 _NOISE = re.compile(r"<[^>\x00]{0,200}>|\[[^\]\x00]*\]|\([^)\x00]*\)|\{[^}\x00]*\}|\*[^*\x00]*\*")
+#: Top-level domains, and the crafts of who makes subtitles, of which a credit names two.
+_TOP = r"(?:example|invalid|test|com|net|org|info|tv|io)\b"
+_CRAFT = r"\b(?:[Tt]ranslat|[Tt]imed|[Tt]iming|[Ss]ync|[Cc]orrect|[Ss]ubtitl)\w*"
+#: Addresses, of which one with spaces about its dot needs a host with a hyphen or digit after a letter, marks, and credits.
 _ADVERT = re.compile(
-    r"https?:|www\.|@|►|◄|\(dot\)|\[dot\]|\. ?(?:example|invalid|test|com|net|org|info|tv|io)\b"
-    r"|[Ss]ubtitles by|[Ss]ync (?:&|and) correct|[Aa]dvertise your|[Ll]earn a language in \d|[Rr]ate this (?:sub|file)|[Tt]ranslated and timed by|[Ww]atch more on|no sign-up needed|our subtitles|[Ff]amily night\?|[Gg]et every episode"
+    rf"https?:|www\.|@|►|◄|\(dot\)|\[dot\]|[^\W_]\.{_TOP}|(?<=[^\W\d_])[\d-][^\W_]* ?\. ?{_TOP}"
+    rf"|{_CRAFT} (?:&|and) {_CRAFT}|[Ss]ubtitles by|[Rr]ate this (?:sub|file)"
 )
 _WORD = re.compile(r"[^\W\d_]+|[\x00.!?…]")
 #: What stands between sentences; \x00 stands between cues.

@@ -1,6 +1,7 @@
 """Neighbours, encoding, packing and language labels against brute force, exact round trips and held-out cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -233,3 +234,11 @@ def test_held_out_accuracy(spark):
     mains = [language.decide(*x, model.usual)[0] for x in classify([language.cue_words(r.text) for r in test])]
     spoken = [(language.CODES[m], language.label_language(r.lang)) for m, r in zip(mains, test) if m >= 0]
     assert sum(a == b for a, b in spoken) / len(spoken) > 0.88
+
+
+def test_adverts_go_and_speech_stays():
+    cue = "1\n00:00:01,000 --> 00:00:02,000\n"
+    for speech in ("Ma dimmi... io ti amo", "Ciao. io ti amo", "Estou... com fome", "Ele. com fome", "alle 3. io ti amo", "Family night? Count me in", "Get every episode of him", "Learn a language in 3 years", "time and time again"):
+        assert [w for w in language.cue_words(cue + speech + "\nyes") if w.isalpha()] == [w for w in re.findall(r"[^\W\d_]+", (speech + " yes").lower())], speech
+    for advert in ("see fine-subs . example now", "see subs24 .tv", "see finesubs.io", "Timed & translated by Ann", "Sync and corrections: x", "Subtitles by Ann", "Please rate this file"):
+        assert [w for w in language.cue_words(cue + advert + "\nyes") if w.isalpha()] == ["yes"], advert
