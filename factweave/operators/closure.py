@@ -15,19 +15,21 @@ def _walk(edges: DataFrame, start: DataFrame, up: bool) -> DataFrame:
     """``node, depth`` of all nodes above (below) the ``node`` of ``start``, level by level until a level is empty.
 
     Each level is one join of the last level with the edges. Levels are written to the shared folder, so lineage doesn't
-    grow; a node seen before isn't walked again, so cycles end.
+    grow; a node seen before isn't walked again, so cycles end. Raises if there are nodes below (above) level DEPTH.
     """
     e = edges.where("child is not null and parent is not null").select("child", "parent").distinct()
     here, there = ("child", "parent") if up else ("parent", "child")
     e = cut(e.select(F.col(here).alias("here"), F.col(there).alias("there")), "edges")
     level, found = start.select(F.col("node"), F.lit(0).alias("depth")), None
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, DEPTH + 2):
         nxt = level.join(e, level["node"] == e["here"]).select(F.col("there").alias("node"), F.lit(depth).alias("depth")).distinct()
         if found is not None:
             nxt = nxt.join(found.select("node"), "node", "left_anti")
         nxt = cut(nxt, "level")
         if nxt.isEmpty():
             break
+        if depth > DEPTH:
+            raise ValueError(f"the hierarchy is deeper than {DEPTH}")
         level, found = nxt, nxt if found is None else found.unionByName(nxt)
     return found if found is not None else start.sparkSession.createDataFrame([], "node string, depth int")
 

@@ -142,6 +142,15 @@ def test_pull_and_rules(spark):
     assert ids(closure.ancestors(cycle, "a")) == ["b"]
 
 
+def test_walk_of_a_deep_hierarchy(spark, monkeypatch):
+    monkeypatch.setattr(closure, "DEPTH", 3)
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(4)], "child string, parent string")
+    assert ids(closure.ancestors(chain, "n1")) == ["n2", "n3", "n4"] and ids(closure.descendants(chain, "n3")) == ["n0", "n1", "n2"]
+    for walk, start in ((closure.ancestors, "n0"), (closure.descendants, "n4"), (closure.category_in_tree, "n4")):
+        with pytest.raises(ValueError, match="deeper than 3"):
+            walk(chain, start)
+
+
 BODIES = {
     "1": '{"type":"item","note":"The Crane","parts":["bolt",7,{"x":"deep"}],"km":45000,"open":true,"nil":null}', "2": '{"type":"item","notes":"no cranes","a.b":1.5}',
     "3": '{"type":"item","parts":["CRANE"],"in":{"note":"bolt"}}', "4": '{"type":"item"}', "5": "crane", "6": '["crane"]', "7": '"crane"', "8": None,
