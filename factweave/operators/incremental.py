@@ -19,8 +19,12 @@ TAKEN = "run_no bigint, entity_id string, doc_id string, created_at_ns bigint, d
 
 
 def fingerprints(source: DataFrame, partition: str) -> DataFrame:
-    """``partition, rows, low, high`` per partition. Sums of 32-bit halves of the row hashes can't overflow."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(source.columns)])
+    """``partition, rows, low, high`` per partition. Sums of 32-bit halves of the row hashes can't overflow.
+
+    xxhash64 skips NULLs, so where a row has them is hashed as well.
+    """
+    columns = sorted(source.columns)
+    h = F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
     lanes = source.select(F.col(partition).cast("string").alias("partition"), (h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("a"), F.shiftrightunsigned(h, 32).alias("b"))
     return lanes.groupBy("partition").agg(F.count(F.lit(1)).alias("rows"), F.sum("a").alias("low"), F.sum("b").alias("high"))
 

@@ -155,6 +155,14 @@ def test_incremental_runs_survive_failures(spark):
         consumer.run(1, df)
 
 
+def test_incremental_sees_a_value_move_between_columns(spark):
+    consumer = incremental.Consumer(spark, fresh_dir(spark, "t"))
+    rows_ = lambda created, version: spark.createDataFrame([(1, "t", "a", created, version)], "delivery_no int, entity_id string, doc_id string, created_at_ns bigint, doc_version bigint")
+    consumer.run(1, rows_(None, 5))
+    consumer.run(2, rows_(5, None))
+    assert sorted(r.run_no for r in consumer.taken().collect()) == [1, 2]
+
+
 def test_incremental_sees_rows_added_to_a_partition(spark):
     consumer = incremental.Consumer(spark, fresh_dir(spark, "t"))
     first = [(1, "t", "a", 1, 0, 1, "x"), (2, "t", "b", 1, 0, 1, "x")]
