@@ -2,11 +2,17 @@
 
 Gaussian projections keep distances: for two vectors at distance d, the squared distance of their m projections over d^2
 is chi-square with m degrees of freedom. So projected neighbours are visited in growing projected distance, each batch is
-verified on the vectors themselves, and the visit stops where the chi-square test says that a vector as near as the best
-found so far would have been seen (with probability ``sure``). The same test works at three places: which cells of the
-shared kd-tree a query goes to, which leaves of a cell's own kd-tree it visits, and which projected points are verified.
+verified on the vectors themselves, and the visit stops where the chi-square test says that no nearer vector is to be
+expected. That happens on two levels.
 
-Exact copies are joined to one representative first, so a group of copies costs one query whatever its size.
+* A scope of many vectors is cut into cells by a shared kd-tree over the projections. Each vector first searches its home
+  cell. Then it goes to further cells in growing projected distance, in batches, its radius being the distance of the k-th
+  neighbour found so far, or the scope's limit; it stops at the first cell for which the test holds: approximately
+  here, for a distance APPROXIMATION times less than the radius and with probability CELL_SURE.
+* In a cell the vectors have a kd-tree of their own, and the test is that of the distance itself (SURE).
+
+A search task holds at most CELL_ROWS vectors of a cell and BLOCK_ROWS vectors that ask; cells with more of either are
+several tasks. Exact copies are joined to one representative first, so a group of copies costs one query whatever its size.
 """
 
 from __future__ import annotations
@@ -15,17 +21,24 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.operators.vectors import SCOPE, accepted
 from factweave.plans.shared import cut
 
-#: Vectors a cell of the shared tree should have; vectors sampled in all to place its splits; most splits on a path.
-CELL_ROWS, SAMPLE_ROWS, MAX_DEPTH = 20_000, 50_000, 16
-#: Projections that decide which vectors are verified, and rows of a leaf of a cell's tree.
+#: Vectors a cell of the shared tree should have, and vectors that ask in one search task.
+CELL_ROWS, BLOCK_ROWS = 20_000, 20_000
+#: Vectors sampled to place a scope's splits: for each cell, and in all; most levels of a scope's tree. Beyond
+#: CELL_ROWS << MAX_DEPTH vectors the cells of a scope have more rows and are searched in parts.
+SAMPLE_PER_CELL, SAMPLE_ROWS, MAX_DEPTH = 64, 400_000, 14
+#: Projections, and rows of a leaf of a cell's tree.
 PROJECTIONS, LEAF_ROWS = 24, 256
-#: Probability with which a neighbour passes each of the tests.
-SURE = 0.999
+#: Probability with which a neighbour passes the test in a cell; that of the test between cells, and its approximation.
+SURE, CELL_SURE, APPROXIMATION = 0.999, 0.9, 2.0
+#: Cells a vector visits in the first batch; each batch has four times as many.
+FIRST_CELLS = 16
 SEED = 20_240_229
 
 
@@ -49,9 +62,9 @@ def chi_square_bound(m: int, p: float) -> float:
     return high
 
 
-def projection(dim: int, m: int) -> np.ndarray:
-    """The first ``m`` projections for vectors of length ``dim``; the same in every task."""
-    return np.random.default_rng(SEED + dim).standard_normal((MAX_DEPTH + PROJECTIONS, dim))[:m].T
+def projection(dim: int, m: int = PROJECTIONS) -> np.ndarray:
+    """The ``m`` projections for vectors of length ``dim``; the same in every task."""
+    return np.random.default_rng(SEED + dim).standard_normal((m, dim)).T
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -71,31 +84,60 @@ def _radius(limit: np.ndarray, cosine: bool) -> np.ndarray:
     return np.sqrt(2 * np.maximum(limit, 0)) if cosine else limit
 
 
-def build_tree(points: np.ndarray, depth: int) -> list[np.ndarray]:
-    """Medians by level: node i of level l splits on coordinate l into nodes 2i and 2i+1 of the next."""
-    levels, node = [], np.zeros(len(points), np.int64)
-    for level in range(depth):
-        cuts = np.zeros(1 << level)
-        for i in range(1 << level):
-            own = points[node == i, level]
-            cuts[i] = np.median(own) if len(own) else 0.0
-        levels.append(cuts)
-        node = 2 * node + (points[:, level] > cuts[node])
-    return levels
-
-
-def reach(levels: list[np.ndarray], points: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, home) for every cell whose box lies within ``radius`` of the row's projections, and the row's own."""
-    row, cell, gap, home = np.arange(len(points)), np.zeros(len(points), np.int64), np.zeros(len(points)), np.ones(len(points), bool)
-    for level, cuts in enumerate(levels):
-        off = points[row, level] - cuts[cell]
-        far = gap + off**2
-        cross = (far <= radius[row] ** 2) & (radius[row] >= 0)
+def build_tree(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(axis, cut) by node: node i splits its points at the median of their widest coordinate into nodes 2i and 2i+1."""
+    axis, cuts = np.zeros(1 << depth, np.int32), np.zeros(1 << depth)
+    todo = [(1, np.arange(len(points)))] if depth else []
+    while todo:
+        i, rows = todo.pop()
+        own = points[rows]
+        if len(own):
+            axis[i] = int(np.argmax(own.std(0)))
+            cuts[i] = np.median(own[:, axis[i]])
+        right = own[:, axis[i]] > cuts[i]
+        if 2 * i < len(axis):
+            todo += [(2 * i, rows[~right]), (2 * i + 1, rows[right])]
+    return axis, cuts
+
+
+def home_cells(tree: tuple[np.ndarray, np.ndarray], points: np.ndarray) -> np.ndarray:
+    axis, cuts = tree
+    node, row = np.ones(len(points), np.int64), np.arange(len(points))
+    for _ in range(len(axis).bit_length() - 1):
+        node = 2 * node + (points[row, axis[node]] > cuts[node])
+    return node - len(axis)
+
+
+def cells_near(tree: tuple[np.ndarray, np.ndarray], boxes: tuple[np.ndarray, np.ndarray], points: np.ndarray, most: np.ndarray, rows_held: int = 400_000):
+    """(row, cell) of the cells whose box lies within the squared projected distance ``most`` of the row, nearest first.
+
+    boxes: the least and the greatest projections of each cell's vectors. The tree is followed where they can be in reach.
+    """
+    axis, cuts = tree
+    row, node, total = np.arange(len(points)), np.ones(len(points), np.int64), np.zeros(len(points))
+    gap = np.zeros(points.shape, np.float32)
+    for _ in range(len(axis).bit_length() - 1):
+        a = axis[node]
+        off = points[row, a] - cuts[node]
+        before = gap[np.arange(len(row)), a]
+        beyond = np.maximum(before, off**2)
+        far = total - before + beyond
+        cross = far <= most[row] * (1 + 1e-5)
+        if len(row) + cross.sum() > rows_held and len(points) > 1:
+            half = len(points) // 2
+            first, second = (cells_near(tree, boxes, points[x], most[x], rows_held) for x in (slice(half), slice(half, None)))
+            return np.concatenate([first[0], second[0] + half]), np.concatenate([first[1], second[1]])
         side = (off > 0).astype(np.int64)
-        row, gap = np.concatenate([row, row[cross]]), np.concatenate([gap, far[cross]])
-        home = np.concatenate([home, np.zeros(cross.sum(), bool)])
-        cell = np.concatenate([2 * cell + side, 2 * cell[cross] + 1 - side[cross]])
-    return row, cell, home
+        own = gap[cross]
+        own[np.arange(len(own)), a[cross]] = beyond[cross]
+        row, total, gap = np.concatenate([row, row[cross]]), np.concatenate([total, far[cross]]), np.concatenate([gap, own])
+        node = np.concatenate([2 * node + side, 2 * node[cross] + 1 - side[cross]])
+    cell = node - len(axis)
+    away = np.concatenate([(np.maximum(np.maximum(boxes[0][cell[s : s + 65536]] - points[row[s : s + 65536]], points[row[s : s + 65536]] - boxes[1][cell[s : s + 65536]]), 0) ** 2).sum(1) for s in range(0, len(row), 65536)] or [total])
+    near = away <= most[row]
+    row, cell, away = row[near], cell[near], away[near]
+    order = np.lexsort((cell, away, row))
+    return row[order], cell[order]
 
 
 def _order(points: np.ndarray, leaf: int) -> list[np.ndarray]:
@@ -119,10 +161,8 @@ def search(data: np.ndarray, queries: np.ndarray, own: np.ndarray, radius: np.nd
     """
     if not len(data) or not len(queries):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    m = min(PROJECTIONS, data.shape[1])
-    exact = m == data.shape[1]  # then the vectors are their own projections
-    p, q = (data, queries) if exact else (data @ projection(data.shape[1], m), queries @ projection(data.shape[1], m))
-    bound = 1.0 if exact else chi_square_bound(m, sure)
+    project = projection(data.shape[1])
+    p, q, bound = data @ project, queries @ project, chi_square_bound(PROJECTIONS, sure)
     leaves, blocks = _order(p, LEAF_ROWS), _order(q, LEAF_ROWS)
     low, high = np.stack([p[x].min(0) for x in leaves]), np.stack([p[x].max(0) for x in leaves])
     p32, q32 = p.astype(np.float32), q.astype(np.float32)
@@ -166,25 +206,13 @@ def search(data: np.ndarray, queries: np.ndarray, own: np.ndarray, radius: np.nd
 def live_vectors(writes: DataFrame, registry: DataFrame) -> DataFrame:
     """``entity_id, scope_name, vec_id, v, cosine, near_limit`` of the vectors that exist after all writes.
 
-    writes: ``row_no, entity_id, scope_name, vec_id, v, op``, applied in the order of ``row_no``. A put of a NULL vector,
-    of another length than the scope's ``dim`` or with an element that is NULL or not finite is refused, as are writes
-    to a scope that isn't registered or with NULL in a key or ``row_no``. Zero vectors of a cosine scope have no distance
-    to anything and are left out. An unknown or NULL metric is cosine. Other columns are ignored.
+    As of :func:`factweave.operators.vectors.accepted`. Zero vectors of a cosine scope have no distance to anything and are
+    left out. Other columns are ignored.
     """
-    scopes = registry.groupBy("entity_id", "scope_name").agg(
-        F.max("dim").alias("dim"), (F.lower(F.max("metric")) != "euclidean").alias("c"), F.max("near_limit").alias("near_limit")
-    ).withColumn("cosine", F.coalesce("c", F.lit(True))).drop("c")
-    good = F.coalesce(F.size("v") == F.col("dim"), F.lit(False)) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    w = writes.where("row_no is not null and vec_id is not null and op in ('put', 'delete')").select("row_no", "entity_id", "scope_name", "vec_id", "v", "op")
-    valid = w.join(scopes, ["entity_id", "scope_name"]).where((F.col("op") == "delete") | F.coalesce(good, F.lit(False)))
-    last = valid.groupBy("entity_id", "scope_name", "vec_id").agg(F.max_by(F.struct(F.when(F.col("op") == "put", F.col("v")).alias("v"), "cosine", "near_limit"), "row_no").alias("w"))
-    live = last.where("w.v is not null").select("entity_id", "scope_name", "vec_id", F.col("w.v").alias("v"), F.col("w.cosine").alias("cosine"), F.col("w.near_limit").cast("double").alias("near_limit"))
+    live = accepted(writes, registry, ["near_limit"]).select(*SCOPE, "vec_id", "v", (~F.col("euclidean")).alias("cosine"), F.col("near_limit").cast("double").alias("near_limit"))
     return live.where(~F.col("cosine") | F.exists("v", lambda x: x != 0))
 
 
-SCOPE = ["entity_id", "scope_name"]
-
-
 def _copies(live: DataFrame, k: int) -> DataFrame:
     """``entity_id, scope_name, rep, vec_id, place, copies`` for the first k+1 of each group of equal vectors, by id.
 
@@ -202,31 +230,6 @@ def _copies(live: DataFrame, k: int) -> DataFrame:
     return of_group.join(first.select(*key, F.col("vec_id").alias("first_id"), "place", "rep"), key).select(*SCOPE, "rep", "vec_id", "first_id", "place", "copies")
 
 
-def _trees(reps: DataFrame, cell_rows: int) -> dict[tuple[str, str], list[np.ndarray]]:
-    """Trees of the scopes with more than ``cell_rows`` vectors; their splits are medians of at most SAMPLE_ROWS rows.
-
-    Only where a cell ends depends on the sample; every vector is in a cell.
-    """
-    sizes = reps.groupBy(*SCOPE, "cosine", F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows).collect()
-    total = sum(r.n for r in sizes)
-    trees = {}
-    if not sizes:
-        return trees
-    kinds = {(r.entity_id, r.scope_name): r for r in sizes}
-    few = reps.join(F.broadcast(reps.sparkSession.createDataFrame([(r.entity_id, r.scope_name) for r in sizes], "entity_id string, scope_name string")), SCOPE)
-    rows = few.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_ROWS / total) * (1 << 20))).select(*SCOPE, "v").toArrow()
-    entity, scope = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-    by: dict[tuple[str, str], list[int]] = {}
-    for i, key in enumerate(zip(entity, scope)):
-        by.setdefault(key, []).append(i)
-    for key, own in by.items():
-        r = kinds[key]
-        depth = min(MAX_DEPTH, r.dim, math.ceil(math.log2(r.n / cell_rows)))
-        points = _scaled(_matrix(rows.column(2).take(own)), r.cosine) @ projection(r.dim, MAX_DEPTH)[:, :depth]
-        trees[key] = build_tree(points, depth)
-    return trees
-
-
 def _groups(b: pa.RecordBatch, names: list[str]):
     """(key values, row numbers) by equal values of ``names``."""
     by: dict[tuple, list[int]] = {}
@@ -235,83 +238,193 @@ def _groups(b: pa.RecordBatch, names: list[str]):
     return by.items()
 
 
-def _cells_udf(trees, sure: float, home_only: bool):
+def _projected(b: pa.RecordBatch, cosine: bool) -> np.ndarray:
+    v = _scaled(_matrix(b.column(b.schema.get_field_index("v"))), cosine)
+    return v @ projection(v.shape[1])
+
+
+def _trees(reps: DataFrame, cell_rows: int) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
+    """The trees of the scopes with more than ``cell_rows`` vectors, each fitted in a task on a sample of its scope.
+
+    Only where a cell ends depends on the sample; every vector is in a cell. To the driver go the trees alone, two numbers
+    a cell, and later the cells' boxes.
+    """
+    sizes = reps.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
+    sizes = sizes.withColumn("depth", F.least(F.lit(MAX_DEPTH), F.ceil(F.log2(F.col("n") / cell_rows)).cast("int")))
+    rate = F.least(F.lit(float(SAMPLE_ROWS)), SAMPLE_PER_CELL * F.pow(F.lit(2.0), F.col("depth"))) / F.col("n")
+    some = reps.join(sizes.withColumn("rate", rate), SCOPE).where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < F.col("rate") * (1 << 40))
+
+    def project(batches):
+        for b in batches:
+            for (entity, scope, cosine, depth), rows in _groups(b, [*SCOPE, "cosine", "depth"]):
+                p = _projected(b.take(pa.array(rows)), cosine).astype(np.float32)
+                n = len(p)
+                yield pa.RecordBatch.from_arrays([pa.array([entity] * n), pa.array([scope] * n), pa.array([depth] * n, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), PROJECTIONS).cast(pa.list_(pa.float32()))], [*SCOPE, "depth", "p"])
+
+    def fit(table: pa.Table) -> pa.Table:
+        axis, cuts = build_tree(_matrix(table.column("p")), table.column("depth")[0].as_py())
+        return pa.table({**{c: [table.column(c)[0].as_py()] for c in SCOPE}, "axis": [axis.tolist()], "cuts": [cuts.tolist()]}, schema=pa.schema([("entity_id", pa.string()), ("scope_name", pa.string()), ("axis", pa.list_(pa.int32())), ("cuts", pa.list_(pa.float64()))]))
+
+    ddl = "entity_id string, scope_name string, depth int, p array<float>"
+    fitted = some.select(*SCOPE, "cosine", "depth", "v").mapInArrow(project, ddl).groupBy(*SCOPE).applyInArrow(fit, "entity_id string, scope_name string, axis array<int>, cuts array<double>")
+    return {(r.entity_id, r.scope_name): (np.array(r.axis, np.int32), np.array(r.cuts)) for r in fitted.collect()}
+
+
+REP = "entity_id string, scope_name string, vec_id string, v array<float>, cosine boolean, near_limit double"
+
+
+def _homes_udf(trees):
+    """Adds the home cell."""
+
     def run(batches):
         for b in batches:
+            cell = np.zeros(b.num_rows, np.int64)
             for (entity, scope, cosine), rows in _groups(b, [*SCOPE, "cosine"]):
-                own = b.take(pa.array(rows))
-                levels = trees.get((entity, scope))
-                n = len(rows)
-                row, cell, home = np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
-                if levels:
-                    v = _scaled(_matrix(own.column(own.schema.get_field_index("v"))), cosine)
-                    limit = own.column(own.schema.get_field_index("near_limit")).to_numpy(zero_copy_only=False).astype(np.float64)
-                    radius = np.full(n, -1.0) if home_only else _radius(limit, cosine) * math.sqrt(chi_square_bound(len(levels), sure))
-                    row, cell, home = reach(levels, v @ projection(v.shape[1], MAX_DEPTH)[:, : len(levels)], radius)
-                if home_only:
-                    row, cell, home = row[home], cell[home], home[home]
-                for s in range(0, len(row), 4096):
-                    out = own.take(pa.array(row[s : s + 4096]))
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell[s : s + 4096]), pa.array(home[s : s + 4096])], [*out.schema.names, "cell", "home"])
+                if tree := trees.get((entity, scope)):
+                    cell[rows] = home_cells(tree, _projected(b.take(pa.array(rows)), cosine))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
 
     return run
 
 
-def _search_udf(k: int, sure: float, skip_home: bool):
+def _boxes(homes: DataFrame, trees) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray]]:
+    """By scope with a tree the least and the greatest projections of each cell's vectors, combined in each task first.
+
+    A cell without vectors is out of reach.
+    """
+
+    def bound(batches):
+        held: dict[tuple, list[np.ndarray]] = {}
+        for b in batches:
+            for (entity, scope, cosine, cell), rows in _groups(b, [*SCOPE, "cosine", "cell"]):
+                if (entity, scope) in trees:
+                    p = _projected(b.take(pa.array(rows)), cosine).astype(np.float32)
+                    low, high = held.get((entity, scope, cell), (np.inf, -np.inf))
+                    held[(entity, scope, cell)] = [np.minimum(low, p.min(0)), np.maximum(high, p.max(0))]
+        if held:
+            entity, scope, cell = zip(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(entity), pa.array(scope), pa.array(cell, pa.int64()), *[pa.array([x[i].tolist() for x in held.values()], pa.list_(pa.float32())) for i in (0, 1)]], [*SCOPE, "cell", "low", "high"])
+
+    def combine(table: pa.Table) -> pa.Table:
+        cell, low, high = table.column("cell").to_numpy(), _matrix(table.column("low")), _matrix(table.column("high"))
+        n = len(trees[(table.column(0)[0].as_py(), table.column(1)[0].as_py())][0])
+        least, most = np.full((n, PROJECTIONS), np.inf, np.float32), np.full((n, PROJECTIONS), -np.inf, np.float32)
+        np.minimum.at(least, cell, low)
+        np.maximum.at(most, cell, high)
+        return pa.table({**{c: [table.column(c)[0].as_py()] for c in SCOPE}, "low": [least.ravel().tolist()], "high": [most.ravel().tolist()]}, schema=pa.schema([("entity_id", pa.string()), ("scope_name", pa.string()), ("low", pa.list_(pa.float32())), ("high", pa.list_(pa.float32()))]))
+
+    scope = "entity_id string, scope_name string"
+    found = homes.select(*SCOPE, "cosine", "cell", "v").mapInArrow(bound, f"{scope}, cell bigint, low array<float>, high array<float>").groupBy(*SCOPE).applyInArrow(combine, f"{scope}, low array<float>, high array<float>")
+    return {(r.entity_id, r.scope_name): tuple(np.array(x, np.float32).reshape(-1, PROJECTIONS) for x in (r.low, r.high)) for r in found.collect()}
+
+
+def _visits_udf(trees, boxes, start: int, end: int):
+    """Replaces ``cell``, the home, by ``cells``: those at ranks ``start`` to ``end`` that pass the test, without the home.
+
+    ``more``: there are further ones. Rows without any are left out.
+    """
+    factor = chi_square_bound(PROJECTIONS, CELL_SURE) / APPROXIMATION**2
+
+    def run(batches):
+        for b in batches:
+            for (entity, scope, cosine), rows in _groups(b, [*SCOPE, "cosine"]):
+                tree = trees.get((entity, scope))
+                for s in range(0, len(rows) if tree else 0, 1024):
+                    own = b.take(pa.array(rows[s : s + 1024]))
+                    column = lambda n: own.column(own.schema.get_field_index(n))  # noqa: B023, E731
+                    most = factor * _radius(column("near_limit").to_numpy(zero_copy_only=False), cosine) ** 2
+                    row, cell = cells_near(tree, boxes[(entity, scope)], _projected(own, cosine), most)
+                    away = cell != column("cell").to_numpy()[row]
+                    row, cell = row[away], cell[away]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    size = np.bincount(row, minlength=own.num_rows)
+                    use = (rank >= start) & (rank < end)
+                    row, cell = row[use], cell[use]
+                    some = np.unique(row)
+                    if not len(some):
+                        continue
+                    out = own.take(pa.array(some))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(row, some), len(row)), pa.int32()), pa.array(cell))
+                    names = [n for n in out.schema.names if n != "cell"]
+                    yield pa.RecordBatch.from_arrays([*[out.column(out.schema.get_field_index(n)) for n in names], lists, pa.array(size[some] > end)], [*names, "cells", "more"])
+
+    return run
+
+
+FOUND = "entity_id string, scope_name string, vec_id string, other string, distance double"
+
+
+def _search_udf(k: int, sure: float):
     schema = pa.schema([("entity_id", pa.string()), ("scope_name", pa.string()), ("vec_id", pa.string()), ("other", pa.string()), ("distance", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("vec_id")
-        home = table.column("home").to_numpy()
+        asks, data = table.filter(pc.field("asks")), table.filter(~pc.field("asks")).sort_by("vec_id")
         cosine = table.column("cosine")[0].as_py()
-        v = _scaled(_matrix(table.column("v")), cosine)
-        limit = table.column("near_limit").to_numpy().astype(np.float64)
-        ids = table.column("vec_id")
-        place = np.cumsum(home) - 1
-        asking = ~home if skip_home else np.ones(len(home), bool)
-        q, p, d = search(v[home], v[asking], np.where(home, place, -1)[asking], _radius(limit, cosine)[asking] * (1 + 1e-6), k, sure)
-        q, p = np.flatnonzero(asking)[q], np.flatnonzero(home)[p]
+        v, x = (_scaled(_matrix(t.column("v")), cosine) for t in (data, asks))
+        limit = asks.column("near_limit").to_numpy().astype(np.float64)
+        ids, own = data.column("vec_id").combine_chunks(), asks.column("vec_id").combine_chunks()
+        place = pc.fill_null(pc.index_in(own, ids), -1).to_numpy(zero_copy_only=False)
+        q, p, d = search(v, x, place, _radius(limit, cosine) * (1 + 1e-6), k, sure)
         if cosine:
-            d = np.concatenate([1 - (v[q[s : s + 8192]] * v[p[s : s + 8192]]).sum(1) for s in range(0, len(q), 8192)] or [d])
+            d = np.concatenate([1 - (x[q[s : s + 8192]] * v[p[s : s + 8192]]).sum(1) for s in range(0, len(q), 8192)] or [d])
         keep = d <= limit[q]
         q, p, d = q[keep], p[keep], d[keep]
-        n = len(q)
-        return pa.table([pa.array([table.column(c)[0].as_py()] * n, pa.string()) for c in SCOPE] + [ids.take(pa.array(q)).cast(pa.string()), ids.take(pa.array(p)).cast(pa.string()), pa.array(d)], schema=schema)
+        return pa.table([pa.array([table.column(c)[0].as_py()] * len(q), pa.string()) for c in SCOPE] + [own.take(pa.array(q)).cast(pa.string()), ids.take(pa.array(p)).cast(pa.string()), pa.array(d)], schema=schema)
 
     return run
 
 
-NEAR = "entity_id string, scope_name string, vec_id string, other string, distance double"
+def _searched(homes: DataFrame, asks: DataFrame, k: int, cell_rows: int, block_rows: int, sure: float) -> DataFrame:
+    """The up to k nearest of each row of ``asks`` in each of its ``cells``.
 
-
-def _nearest_reps(reps: DataFrame, k: int, cell_rows: int, sure: float) -> DataFrame:
-    """Up to k neighbours of each representative; where ``near_limit`` is infinite, the first round finds a limit."""
+    Rows of cells with more than twice ``cell_rows`` are dealt out to parts, all of which a query goes to, and queries of a
+    cell to blocks, each of which gets the cell's rows.
+    """
+    cell = [*SCOPE, "cell"]
+    goes = asks.select(*SCOPE, "vec_id", "v", "cosine", "near_limit", F.explode("cells").alias("cell"))
+    parts = homes.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * cell_rows)).alias("parts"))
+    blocks = asks.select(*SCOPE, F.explode("cells").alias("cell")).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("blocks"))
+    sizes = parts.join(blocks, cell)
+    salt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    columns = [*cell, "vec_id", "v", "cosine", "near_limit"]
+    data = homes.join(sizes, cell).select(*columns, F.lit(False).alias("asks"), salt("parts").alias("part"), every("blocks").alias("block"))
+    queries = goes.join(sizes, cell).select(*columns, F.lit(True).alias("asks"), every("parts").alias("part"), salt("blocks").alias("block"))
+    return data.unionByName(queries).groupBy(*cell, "part", "block").applyInArrow(_search_udf(k, sure), FOUND)
+
+
+def _nearest_reps(reps: DataFrame, k: int, cell_rows: int, block_rows: int, sure: float) -> DataFrame:
+    """Up to k neighbours of each representative, and further ones from other cells: home cells, then batches of cells."""
     trees = _trees(reps, cell_rows)
-    ddl = "entity_id string, scope_name string, vec_id string, v array<float>, cosine boolean, near_limit double, cell bigint, home boolean"
-    cells = lambda df, home_only: df.mapInArrow(_cells_udf(trees, sure, home_only), ddl)
-    find = lambda df, skip: df.groupBy(*SCOPE, "cell").applyInArrow(_search_udf(k, sure, skip), NEAR)
-    unlimited = reps.where("near_limit = double('infinity')")
-    if not trees or unlimited.isEmpty():
-        return find(cells(reps, False), False)
-    at_home = cut(find(cells(reps, True), False), "neighbours")
-    w = at_home.groupBy(*SCOPE, "vec_id").agg(F.max("distance").alias("d"), F.count(F.lit(1)).alias("n"))
-    bounded = reps.join(w, [*SCOPE, "vec_id"], "left").withColumn("near_limit", F.when(F.col("n") >= k, F.least("near_limit", "d")).otherwise(F.col("near_limit"))).drop("n", "d")
-    return at_home.unionByName(find(cells(bounded, False), True))
-
-
-def nearest(live: DataFrame, k: int = 5, cell_rows: int = CELL_ROWS, sure: float = SURE) -> DataFrame:
+    homes = cut(reps.mapInArrow(_homes_udf(trees), f"{REP}, cell bigint"), "homes")
+    found = cut(_searched(homes, homes.withColumn("cells", F.array("cell")), k, cell_rows, block_rows, sure), "neighbours")
+    boxes = _boxes(homes, trees) if trees else {}
+    start, step, open_ = 0, FIRST_CELLS, homes
+    while trees:
+        kth = found.groupBy(*SCOPE, "vec_id").agg(F.try_element_at(F.array_sort(F.collect_list("distance")), F.lit(k)).alias("kth"))
+        nearer = open_.join(kth, [*SCOPE, "vec_id"], "left").withColumn("near_limit", F.least("near_limit", "kth")).select(*homes.columns)
+        asks = cut(nearer.mapInArrow(_visits_udf(trees, boxes, start, start + step), f"{REP}, cells array<bigint>, more boolean"), "visits")
+        if asks.isEmpty():
+            break
+        found = found.unionByName(cut(_searched(homes, asks, k, cell_rows, block_rows, sure), "neighbours"))
+        open_ = homes.join(asks.where("more").select(*SCOPE, "vec_id"), [*SCOPE, "vec_id"], "left_semi")
+        start, step = start + step, 4 * step
+    return found
+
+
+def nearest(live: DataFrame, k: int = 5, cell_rows: int = CELL_ROWS, sure: float = SURE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``entity_id, scope_name, vec_id, other, distance``: for each vector its up to ``k`` nearest others in the scope.
 
     live: as of :func:`live_vectors`; only neighbours at most ``near_limit`` away count (infinity: all; NULL: none).
-    Equal distances go by id. A neighbour is missed with probability ``1 - sure`` at each of the tests at most; no bucket or
-    candidate list is capped. Of a group of more than k equal vectors each has the first k others by id as neighbours.
+    Equal distances go by id. Within a cell a neighbour is missed with probability ``1 - sure`` at most; between cells the
+    search is approximate. No bucket or candidate list is capped, and the same is done at every length and size. Of a group of more than k equal vectors each has the first k others by id as neighbours.
     """
     live = cut(live.where("near_limit is not null"), "vectors")
     copies = cut(_copies(live, k), "copies")
     listed = copies.where("vec_id = first_id").select(*SCOPE, "rep", "vec_id", "place", "copies")
     others = copies.where("vec_id <> rep").select(*SCOPE, "vec_id").distinct()
     reps = live.join(others, [*SCOPE, "vec_id"], "left_anti").select(*SCOPE, "vec_id", "v", "cosine", "near_limit")
-    near = _nearest_reps(reps, k, cell_rows, sure)
+    near = _nearest_reps(reps, k, cell_rows, block_rows, sure)
     w = Window.partitionBy(*SCOPE, "vec_id").orderBy("distance", "other")
     near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
     as_other = listed.select(*SCOPE, F.col("rep").alias("other"), F.col("vec_id").alias("copy"))

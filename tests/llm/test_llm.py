@@ -132,6 +132,44 @@ def test_neighbours_against_brute_force(spark, cosine, limit):
     assert len(found & want) >= 0.99 * len(want) and len(found - want) <= 0.01 * len(want) + 2 * (limit == float("inf")) * len(want) * 0.01
 
 
+@pytest.mark.parametrize("limit", [0.05, float("inf")])
+def test_neighbours_over_many_cells(spark, limit):
+    """20,000 vectors in 256 cells; in groups, as the nearest of a vector far from all others are anyone's."""
+    g = np.random.default_rng(8)
+    x = (np.repeat(g.standard_normal((1667, 64)), 12, axis=0)[:20_000] + 0.08 * g.standard_normal((20_000, 64))).astype(np.float32)
+    live = spark.createDataFrame([("t", "s", f"v{i:05d}", x[i].tolist(), True, limit) for i in range(len(x))], LIVE)
+    got = {}
+    for r in neighbours.nearest(live, 5, cell_rows=80, block_rows=50).collect():
+        got.setdefault(r.vec_id, set()).add(int(r.other[1:]))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, len(x), 20)
+    d = 1 - u[asked] @ u.T
+    d[np.arange(len(asked)), asked] = 9
+    want = {int(i): set(np.argsort(d[j])[:5][np.sort(d[j])[:5] <= limit].tolist()) for j, i in enumerate(asked)}
+    assert sum(len(got.get(f"v{i:05d}", set()) & w) for i, w in want.items()) >= 0.95 * sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("scope,dim", [("harbor-east/photo_tags", 64), ("rental-pool/notes", 96)])
+@pytest.mark.parametrize("depth", [8, 12])
+def test_few_cells_are_visited(scope, dim, depth):
+    import duckdb
+
+    entity, name = scope.split("/")
+    rows_ = duckdb.sql(f"select v from '/root/testdata/sf0.01/vec_data.parquet' where op = 'put' and entity_id = '{entity}' and scope_name = '{name}' and len(v) = {dim} and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0").fetchall()
+    x = np.unique(np.array([r[0] for r in rows_], np.float32), axis=0)
+    p = neighbours._scaled(x[np.abs(x).sum(1) > 0], True) @ neighbours.projection(dim)
+    tree = neighbours.build_tree(p, depth)
+    cell = neighbours.home_cells(tree, p)
+    low, high = np.full((1 << depth, p.shape[1]), np.inf), np.full((1 << depth, p.shape[1]), -np.inf)
+    np.minimum.at(low, cell, p)
+    np.maximum.at(high, cell, p)
+    most = neighbours.chi_square_bound(neighbours.PROJECTIONS, neighbours.CELL_SURE) / neighbours.APPROXIMATION**2 * 2 * 0.06
+    row, near = neighbours.cells_near(tree, (low, high), p, np.full(len(p), most))
+    assert len(row) <= 0.05 * len(p) * (1 << depth) and set(zip(range(len(p)), cell.tolist())) <= set(zip(row.tolist(), near.tolist()))
+    few = neighbours.cells_near(tree, (low, high), p, np.full(len(p), most), rows_held=50)
+    assert (few[0] == row).all() and (few[1] == near).all()
+
+
 def test_a_third_of_equal_vectors(spark):
     live = clustered(240, 16, 4, True, 0.2, copies=80)
     got = neighbours.nearest(spark.createDataFrame(live, LIVE), 5, cell_rows=50).collect()
