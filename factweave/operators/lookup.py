@@ -1,102 +1,73 @@
-"""Index-style lookups over JSON documents ``entity_id, doc_id, body``: terms, prefixes, numeric ranges."""
+"""Index-style lookups over JSON documents ``entity_id, doc_id, body``: terms, prefixes, numeric ranges.
+
+Terms and numbers are taken from parsed bodies by built-in functions. A lookup is a filter on the documents: nothing is
+exploded or shuffled for it.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from decimal import Decimal
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factweave.functions.bodies import parse
-
-
-def shortest(x: float) -> str:
-    """The shortest digits that read back as ``x``; with an exponent below 1e-4 and from 1e6 on, as the store writes terms."""
-    sign, digits, tail = Decimal(repr(x)).normalize().as_tuple()
-    minus, text, exponent = "-" if sign else "", "".join(map(str, digits)), len(digits) + tail - 1
-    if x and (exponent < -4 or exponent >= 6):
-        return f"{minus}{text[0]}{'.' + text[1:] if len(text) > 1 else ''}e{'-' if exponent < 0 else '+'}{abs(exponent):02d}"
-    return f"{x:.{max(0, -tail)}f}"
-
-
-def leaves(body: str | None) -> Iterator[tuple[str, object]]:
-    """(last key, scalar) of each leaf of an object; lists keep the key above them; null leaves and non-objects give none."""
-    ok, value = parse(body) if body else (False, None)
-    todo = [("", value)] if ok and isinstance(value, dict) else []
-    while todo:
-        key, v = todo.pop()
-        if isinstance(v, dict):
-            todo += v.items()
-        elif isinstance(v, list):
-            todo += [(key, x) for x in v]
-        elif v is not None:
-            yield key, v
-
+from factweave.functions.json import leaves, lenient
 
-def as_text(v) -> str:
-    return ("true" if v else "false") if isinstance(v, bool) else shortest(v) if isinstance(v, float) else v
 
+def _docs(docs: DataFrame, entity_id: str | None = None) -> DataFrame:
+    rows = docs if entity_id is None else docs.where(F.col("entity_id") == entity_id)
+    return lenient(rows).select("entity_id", "doc_id", "body").where("body is not null")
 
-def extract_terms(body: str | None) -> list[str]:
-    """The distinct terms of a document: each leaf's text, and it behind its key and a colon; an empty text has no bare term."""
-    terms = set()
-    for key, v in leaves(body):
-        text = as_text(v)
-        terms |= {text, f"{key}:{text}"}
-    return sorted(terms - {""})
 
-
-def extract_numbers(body: str | None) -> list[tuple[str, float]]:
-    """(key, number) of each numeric leaf, all of a list."""
-    return [(k, v) for k, v in leaves(body) if isinstance(v, float) and not isinstance(v, bool)]
-
-
-def _exploded(docs: DataFrame, run, ddl: str, names: list[str]) -> DataFrame:
-    def udf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(e, d, *x) for e, d, body in zip(*[c.to_pylist() for c in b.columns]) for x in run(body)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["entity_id", "doc_id", *names])
-
-    return docs.select("entity_id", "doc_id", "body").where("body is not null").mapInArrow(udf, f"entity_id string, doc_id string, {ddl}")
+def _terms() -> Column:
+    """The terms of a document: each leaf's text, and it behind its key and a colon; an empty text has no bare term."""
+    both = F.flatten(F.transform(leaves(F.col("body")), lambda e: F.array(e["text"], F.concat(e["key"], F.lit(":"), e["text"]))))
+    return F.filter(both, lambda t: t != "")
 
 
 def terms(docs: DataFrame) -> DataFrame:
     """``entity_id, doc_id, term``; bodies that are no JSON objects have none."""
-    return _exploded(docs, lambda b: [(t,) for t in extract_terms(b)], "term string", ["term"])
+    return _docs(docs).select("entity_id", "doc_id", F.explode(F.array_distinct(_terms())).alias("term"))
 
 
 def numbers(docs: DataFrame) -> DataFrame:
-    """``entity_id, doc_id, attr, num``."""
-    return _exploded(docs, extract_numbers, "attr string, num double", ["attr", "num"])
+    """``entity_id, doc_id, attr, num`` of each numeric leaf, all of a list."""
+    return _docs(docs).select("entity_id", "doc_id", F.inline(F.transform(F.filter(leaves(F.col("body")), lambda e: e["num"].isNotNull()), lambda e: F.struct(e["key"].alias("attr"), e["num"].alias("num")))))
+
+
+def term_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``entity_id, doc_id, gained, lost``: the sorted terms that documents have and had only after, and before."""
+    sets = [_docs(d).select("entity_id", "doc_id", _terms().alias(n)) for d, n in ((before, "was"), (after, "has"))]
+    none = F.array().cast("array<string>")
+    both = sets[0].join(sets[1], ["entity_id", "doc_id"], "full").select("entity_id", "doc_id", F.coalesce("was", none).alias("was"), F.coalesce("has", none).alias("has"))
+    both = both.select("entity_id", "doc_id", F.array_sort(F.array_except("has", "was")).alias("gained"), F.array_sort(F.array_except("was", "has")).alias("lost"))
+    return both.where((F.size("gained") > 0) | (F.size("lost") > 0))
 
 
 def lookup(docs: DataFrame, entity_id: str, term: str) -> DataFrame:
     """``doc_id`` of the documents with the term."""
-    return terms(docs.where(F.col("entity_id") == entity_id)).where(F.col("term") == term).select("doc_id").distinct()
+    return lookup_all(docs, entity_id, [term])
 
 
-def lookup_all(docs: DataFrame, entity_id: str, wanted: list[str]) -> DataFrame:
-    """``doc_id`` of the documents with all the terms: one pass, counted, instead of an intersection of lookups."""
-    hits = terms(docs.where(F.col("entity_id") == entity_id)).where(F.col("term").isin(wanted))
-    return hits.groupBy("doc_id").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(set(wanted))).select("doc_id")
+def lookup_all(docs: DataFrame, entity_id: str, wanted: Sequence[str]) -> DataFrame:
+    """``doc_id`` of the documents with all the terms; one pass instead of an intersection of lookups."""
+    have = F.forall(F.array(*map(F.lit, dict.fromkeys(wanted))), lambda t: F.array_contains(F.col("terms"), t))
+    return _docs(docs, entity_id).select("doc_id", F.coalesce(_terms(), F.array().cast("array<string>")).alias("terms")).where(have).select("doc_id").distinct()
 
 
 def lookup_prefix(docs: DataFrame, entity_id: str, prefix: str) -> DataFrame:
     """``doc_id`` of the documents with a term that begins with ``prefix``; all that have terms for an empty one."""
-    return terms(docs.where(F.col("entity_id") == entity_id)).where(F.col("term").startswith(prefix)).select("doc_id").distinct()
+    return _docs(docs, entity_id).where(F.exists(_terms(), lambda t: t.startswith(prefix))).select("doc_id").distinct()
 
 
 def lookup_range(docs: DataFrame, entity_id: str, attr: str, low: float, high: float, open_low: bool = False, open_high: bool = False) -> DataFrame:
     """``doc_id`` of the documents with a number of ``attr`` in the range; none if ``low > high``; no bound may be NaN or infinite."""
     if not (math.isfinite(low) and math.isfinite(high)):
         raise ValueError("a bound must be finite")
-    n = F.col("num")
-    inside = (n > low if open_low else n >= low) & (n < high if open_high else n <= high)
-    return numbers(docs.where(F.col("entity_id") == entity_id)).where((F.col("attr") == attr) & inside).select("doc_id").distinct()
+    inside = lambda n: (n > low if open_low else n >= low) & (n < high if open_high else n <= high)
+    has = F.exists(leaves(F.col("body")), lambda e: F.coalesce((e["key"] == attr) & inside(e["num"]), F.lit(False)))
+    return _docs(docs, entity_id).where(has).select("doc_id").distinct()
 
 
 def stats(docs: DataFrame, entity_id: str, attr: str) -> DataFrame:

@@ -153,8 +153,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
         near = x.mapInArrow(lambda batches: _search_block(shared.value, batches, k, metric), ddl)
     else:
         blocks, parts = math.ceil(n / QUERY_BLOCK), max(spark.sparkContext.defaultParallelism, math.ceil(x.count() / VECTOR_PART))
-        salt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
-        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("bigint")
+        salt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("bigint")
+        every = lambda m: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))
         rows = x.select(F.col("vec_id").alias("id"), "v", F.lit(False).alias("asks"), salt("vec_id", parts).alias("part"), every(blocks).alias("block"))
         rows = rows.unionByName(q.select(F.col("query_id").alias("id"), "v", F.lit(True).alias("asks"), every(parts).alias("part"), salt("query_id", blocks).alias("block")))
 

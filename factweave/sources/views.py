@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.functions.json import instant_of, parsed, text_of, top
 from factweave.operators.store import as_of
 from factweave.plans.clauses import Facts
 from factweave.sources.entries import entry_rows
@@ -48,15 +49,31 @@ def current_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def body_facts(docs: DataFrame) -> Facts:
     """Documents with JSON bodies as facts; bodies that are no JSON have no attributes."""
-    return Facts(docs.withColumn("__variant", F.try_parse_json("body")), "doc_id", {}, F.col("__variant"))
+    return Facts(parsed(docs, "body", "__variant"), "doc_id", {}, F.col("__variant"))
 
 
-def entry_events(spark: SparkSession, d: str) -> DataFrame:
-    """The entries of ``temporal_entry`` as events ``entity_id, item_id, doc_id, type, at_ns``; ``doc_id`` is the entry's id."""
-    rows = entry_rows(table(spark, d, "temporal_entry")).dropDuplicates(["entry_id"])
+def entry_events(spark: SparkSession, d: str, entity_id: str | None = None, item_id: str | None = None) -> DataFrame:
+    """The entries of ``temporal_entry`` as events ``entity_id, item_id, doc_id, type, at_ns``; ``doc_id`` is the entry's id.
+
+    Of one tenant or item only its rows are compared with each other.
+    """
+    rows = entry_rows(table(spark, d, "temporal_entry"))
+    rows = rows if entity_id is None else rows.where(F.col("entity_id") == entity_id)
+    rows = (rows if item_id is None else rows.where(F.col("item_id") == item_id)).dropDuplicates(["entry_id"])
     return rows.select("entity_id", "item_id", F.lpad(F.col("entry_id").cast("string"), 20, "0").alias("doc_id"), F.col("entry_type").alias("type"), "at_ns")
 
 
+def body_events(docs: DataFrame) -> DataFrame:
+    """The events that JSON documents ``entity_id, doc_id, body`` are, as ``entity_id, item_id, doc_id, type, at_ns``.
+
+    A document is one if its top level has a string ``item_id``, a string ``type`` and an instant ``at``, a number of
+    nanoseconds or an RFC3339 text.
+    """
+    v = F.col("__variant")
+    rows = parsed(docs, "body", "__variant").select("entity_id", text_of(top(v, "item_id")).alias("item_id"), "doc_id", text_of(top(v, "type")).alias("type"), instant_of(top(v, "at")).alias("at_ns"))
+    return rows.where("item_id is not null and type is not null and at_ns is not null")
+
+
 def nation_edges(spark: SparkSession, d: str) -> DataFrame:
     """``child, parent``: regions R, nations N, customers C and suppliers S by number."""
     node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from factweave import reference_queries
 from factweave.functions.bodies import parse
+from factweave.functions.json import number_text
 from factweave.operators import closure, lookup, store, temporal, vectors
 from factweave.operators.cdc import CurrentState
 from factweave.operators.query import pull, query, query_as_of
 from factweave.operators.store import as_of
-from factweave.plans.clauses import Aggregate, Facts, FullText, Lit, Not, Or, Pattern, Predicate, RuleCall
+from factweave.plans import wire
+from factweave.plans.clauses import Aggregate, Facts, FullText, Lit, Not, Or, Pattern, Predicate, Rule, RuleCall, narrowed
 from factweave.plans.shared import fresh_dir
-from factweave.sources.views import body_facts
+from factweave.sources.views import body_events, body_facts
 from factweave.streaming import feed
 
 V = store.DDL
@@ -52,14 +54,37 @@ def test_bounds_and_stats(spark):
     assert tuple(lookup.stats(d, "tenant-a", "none").first()) == (0, 0.0, 0.0, None, None)
 
 
-def test_terms():
-    assert lookup.extract_terms('{"status":"active","km":45000,"open":true}') == ["45000", "active", "km:45000", "open:true", "status:active", "true"]
-    assert lookup.extract_terms('{"coverage_feature":{"tierart":["hund","katze"]}}') == ["hund", "katze", "tierart:hund", "tierart:katze"]
-    assert len(lookup.extract_terms('{"coverage":[{"name":"hund","km":10},{"name":"katze","km":20}]}')) == 8
-    assert lookup.extract_terms('{"a":null,"b":42,"c":""}') == ["42", "b:42", "c:"] and lookup.extract_terms('{"a":"x","b":"x"}') == ["a:x", "b:x", "x"]
-    for bad in ("[1,2,3]", '"hello"', "42", "null", "true", "{not valid", "", None):
-        assert lookup.extract_terms(bad) == [] and lookup.extract_numbers(bad) == []
-    assert [lookup.shortest(x) for x in (45000.0, 0.5, 1e6, 1.5e-5, -2.0, 123456.7, 0.0, 1234567.0)] == ["45000", "0.5", "1e+06", "1.5e-05", "-2", "123456.7", "0", "1.234567e+06"]
+def terms_of(spark, body):
+    return sorted(r.term for r in lookup.terms(docs(spark, {"d": body})).collect())
+
+
+def test_terms(spark):
+    many = docs(spark, {
+        "a": '{"status":"active","km":45000,"open":true}', "b": '{"coverage_feature":{"tierart":["hund","katze"]}}', "c": '{"coverage":[{"name":"hund","km":10},{"name":"katze","km":20}]}',
+        "d": '{"a":null,"b":42,"c":""}', "e": '{"a":"x","b":"x"}', "f": '{"a":1,"a":"last"}', "g": '{"' + 'k":{"' * 14 + 'deep":[[7]]}' + "}" * 14, "h": '{"empty":{},"none":[]}',
+        **{f"bad{i}": x for i, x in enumerate(("[1,2,3]", '"hello"', "42", "null", "true", "{not valid", "", None, '{"a":1e999,"b":2}'))},
+    })
+    got = {}
+    for r in lookup.terms(many).collect():
+        got.setdefault(r.doc_id, []).append(r.term)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "a": ["45000", "active", "km:45000", "open:true", "status:active", "true"], "b": ["hund", "katze", "tierart:hund", "tierart:katze"],
+        "c": ["10", "20", "hund", "katze", "km:10", "km:20", "name:hund", "name:katze"], "d": ["42", "b:42", "c:"], "e": ["a:x", "b:x", "x"], "f": ["a:last", "last"], "g": ["7", "deep:7"],
+    }
+    assert {(r.doc_id, r.attr, r.num) for r in lookup.numbers(many).collect()} == {("a", "km", 45000.0), ("c", "km", 10.0), ("c", "km", 20.0), ("d", "b", 42.0), ("g", "deep", 7.0)}
+    assert terms_of(spark, '{"k":' * 40 + "1" + "}" * 40) == ["1", "k:1"]
+    assert "Python" not in lookup.lookup(many, "tenant-a", "x")._jdf.queryExecution().toString() and "InArrow" not in lookup.stats(many, "tenant-a", "x")._jdf.queryExecution().toString()
+
+
+def test_number_texts(spark):
+    want = {45000.0: "45000", 0.5: "0.5", 1e6: "1e+06", 1.5e-5: "1.5e-05", -2.0: "-2", 123456.7: "123456.7", 0.0: "0", 1234567.0: "1.234567e+06", 1e7: "1e+07", -1.25e21: "-1.25e+21", 1e300: "1e+300", 0.00012: "0.00012", 0.001: "0.001", 999999.5: "999999.5", 1000000.5: "1.0000005e+06", 3e-300: "3e-300", 100.0: "100"}
+    df = spark.createDataFrame([(x,) for x in want], "x double")
+    assert {r.x: r.t for r in df.withColumn("t", number_text(F.col("x"))).collect()} == want
+
+
+def test_term_changes(spark):
+    before, after = docs(spark, {"a": '{"x":1,"y":"p"}', "b": '{"x":1}', "c": '{"x":1}'}), docs(spark, {"a": '{"x":2,"y":"p"}', "c": '{"x":1}', "d": '{"z":true}'})
+    assert rows(lookup.term_changes(before, after).select("doc_id", "gained", "lost")) == [("a", ["2", "x:2"], ["1", "x:1"]), ("b", [], ["1", "x:1"]), ("d", ["true", "z:true"], [])]
 
 
 def facts(spark):
@@ -272,6 +297,10 @@ def test_clusters_and_sequences_against_plain(spark, seed):
         got.setdefault(x.item_id, {}).setdefault(x.cluster_no, []).append(x.at_ns)
     want = {i: plain_clusters([t for t, k in x if k in "ab"], 7, 3) for i, x in own.items()}
     assert {i: list(x.values()) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    for window, least in ((7, 3), (2, 1), (60, 25), (1, 2), (400, 4), (3, 9)):
+        whole = rows(temporal.clusters(df, [], window, least))
+        assert rows(temporal.clusters(df, [], window, least, rows_per_chunk=17)) == whole, (window, least)
+        assert sum(len(c) for x in own.values() for c in plain_clusters([t for t, _ in x], window, least)) == len(whole)
     for steps, window in ((list("abc"), 20), (list("aab"), 15), (list("ab"), 4), (list("abc"), 0), (["c"], 5)):
         seq = {}
         for x in temporal.sequences(df, steps, window).orderBy("item_id", "pos").collect():
@@ -289,12 +318,35 @@ def test_two_step_sequence(spark):
 
 def test_windows_and_counts(spark):
     df = events(spark, [("i1", "inspect", 1000), ("i1", "repair", 2000), ("i1", "inspect", 3000)])
-    assert [r.at_ns for r in temporal.window_query(df, "i1", ["inspect"]).collect()] == [1000, 3000] and temporal.window_query(df, "i1").count() == 3 and temporal.window_query(df, "no").count() == 0
+    assert [r.at_ns for r in temporal.window_query(df, "t", "i1", ["inspect"]).collect()] == [1000, 3000] and temporal.window_query(df, "t", "i1").count() == 3 and temporal.window_query(df, "t", "no").count() == 0 and temporal.window_query(df, "u", "i1").count() == 0
     assert rows(temporal.last_seen(df)) == [("t", "i1", "inspect", 3000), ("t", "i1", "repair", 2000)]
     assert temporal.absent_since(df, "repair", 2500).count() == 1 and temporal.absent_since(df, "inspect", 2500).count() == 0
     assert rows(temporal.group_count(df, ["type"])) == [("t", "i1", "type", "inspect", 2, 1000, 3000), ("t", "i1", "type", "repair", 1, 2000, 2000)]
 
 
+def test_a_hot_item_of_many_events(spark):
+    """Time in proportion to the events, though a window holds thousands of them."""
+    n = 200_000
+    df = spark.range(n).select(F.lit("t").alias("entity_id"), F.lit("i").alias("item_id"), F.lpad(F.col("id").cast("string"), 9, "0").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("type"), (F.col("id") * 10).alias("at_ns"))
+    assert temporal.clusters(df, [], 100_000, 50).agg(F.max("cluster_no"), F.count("*")).first()[:] == (20, n)
+    assert temporal.clusters(df, [], 100_000, 50, rows_per_chunk=30_000).agg(F.max("cluster_no"), F.count("*")).first()[:] == (20, n)
+    assert temporal.sequences(df, ["a", "c"], 100_000).count() == 0
+    assert rows(temporal.sequences(df, ["a", "b", "b", "a"], 100_000).select("pos", "at_ns")) == [(1, 0), (2, 10), (3, 20), (4, 30)]
+    assert rows(temporal.followed_by(df, "a", "b", 100_000)) == [("t", "i", 0, 10)] == rows(temporal.followed_by(df, "a", "b", 0))
+
+
+def test_events_and_groups_of_bodies(spark):
+    d = docs(spark, {
+        "a": '{"item_id":"item-1","type":"inspect","at":100,"outcome":"pass","n":1.0,"list":[1],"none":null}', "b": '{"item_id":"item-1","type":"inspect","at":200,"outcome":"fail"}', "c": '{"item_id":"item-1","type":"inspect","at":"1970-01-01T00:00:00.000000300Z","outcome":"pass"}',
+        "d": '{"item_id":"item-2","type":"inspect","at":400.7,"outcome":"pass"}', "e": '{"item_id":"item-1","outcome":"pass"}', "f": '{"item_id":7,"type":"inspect","at":1}', "g": '{"item_id":"item-1","type":"x","at":"soon"}', "h": "[]", "i": None, "j": "{}",
+    })
+    assert rows(body_events(d)) == [("tenant-a", "item-1", "a", "inspect", 100), ("tenant-a", "item-1", "b", "inspect", 200), ("tenant-a", "item-1", "c", "inspect", 300), ("tenant-a", "item-2", "d", "inspect", 400)]
+    got = {(r.item_id, r.attr, r.value): (r.n, r.first_ns, r.last_ns) for r in temporal.group_count_bodies(d).collect()}
+    assert got[("item-1", "type", "inspect")] == (3, 100, 300) and got[("item-1", "outcome", "pass")] == (3, 100, 300) and got[("item-1", "n", "1")] == (1, 100, 100) and got[("item-1", "type", "x")] == (1, None, None)
+    assert ("item-1", "list", "[1]") not in got and not any(k[1] in ("item_id", "none") or k[0] == "7" for k in got)
+    assert ids(temporal.group_documents(d, "tenant-a", "item-1", "outcome", "pass")) == ["a", "c", "e"]
+
+
 VEC = "entity_id string, scope_name string, vec_id string, v array<float>"
 
 
@@ -304,12 +356,12 @@ def test_vectors(spark):
     assert [(r.vec_id, r.distance) for r in vectors.search(v, q, 2).orderBy("rank").collect()] == [("a", 0.0), ("b", 1.0)]
     assert vectors.search(v, q, 50).count() == 3 and vectors.search(v, q, 0).count() == 0 and vectors.search(v, q, 50, "euclidean").count() == 4
     none = spark.createDataFrame([], "entity_id string, scope_name string, dim int, metric string")
-    three = v.where("vec_id in ('a', 'b', 'c')")
-    stored, registry = vectors.insert(v.limit(0), none, three)
+    three = v.where("vec_id in ('a', 'b', 'c')").withColumn("no", F.lit(1))
+    stored, registry = vectors.insert(v.limit(0), none, three, "no")
     assert [tuple(r) for r in vectors.scopes(stored, registry).collect()] == [("t", "s", 3, "cosine", 3)]
     with pytest.raises(ValueError):
-        vectors.insert(stored, registry, v.where("vec_id = 'short'"))
-    again, _ = vectors.insert(stored, registry, spark.createDataFrame([("t", "s", "a", [5.0, 0.0, 0.0])], VEC))
+        vectors.insert(stored, registry, v.where("vec_id = 'short'").withColumn("no", F.lit(1)), "no")
+    again, _ = vectors.insert(stored, registry, spark.createDataFrame([("t", "s", "a", [5.0, 0.0, 0.0], 2), ("t", "s", "a", [6.0, 0.0, 0.0], 1)], VEC + ", no int"), "no")
     assert again.count() == 3 and again.where("vec_id = 'a'").first().v == [5.0, 0.0, 0.0]
     left = vectors.delete(stored, "t", "s", "a")
     assert left.count() == 2 and [r.n for r in vectors.scopes(left.limit(0), registry).collect()] == [0]
@@ -386,3 +438,82 @@ def test_stream_of_one_hot_document(spark, tmp_path):
 def test_stream_out_of_order_raises(spark, tmp_path):
     with pytest.raises(Exception, match="came after write 5"):
         classified(spark, tmp_path, [[[(5, "t", "a", False, "x")]], [[(3, "t", "a", False, "y")]]])
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name,pushed", [
+    ("query_pattern", ["EqualTo(event_type,click)"]),
+    ("query_predicate_num", ["GreaterThan(value,20.0)", "LessThanOrEqual(value,60.0)"]),
+    ("query_predicate_eq_ne", ["EqualTo(user_id,7)", "Not(EqualTo(event_type,click))"]),
+    ("query_starts_with", ["StringStartsWith(source,fan)"]),
+    ("query_ends_with", ["StringEndsWith(source,ocr)"]),
+    ("query_contains", ["StringContains(text,harbour)"]),
+    ("query_not", ["EqualTo(user_id,3)"]),
+])
+def test_conditions_reach_the_source(spark, name, pushed):
+    plan = reference_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert all(p in filters for p in pushed), filters
+
+
+def test_integers_compare_as_doubles_do(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([-3, -2, 0, 1, 2, 3, 2**53, 2**53 + 1])], "id bigint, n bigint")
+    f = Facts(df, "id", {":t": F.lit("x"), ":n": F.col("n")})
+    for op, test in {"<": float.__lt__, "<=": float.__le__, ">": float.__gt__, ">=": float.__ge__, "==": float.__eq__}.items():
+        for number in (-2.5, -2, 0.0, 1.5, 2, 2**53, 1e300, float("inf")):
+            want = [r.id for r in df.collect() if test(float(r.n), float(number))]
+            assert ids(query(f, ["?e"], [Pattern("?e", ":t", "x"), Pattern("?e", ":n", "?n"), Predicate("?n", op, number)])) == want
+            turned = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "=="}[op]
+            assert ids(query(f, ["?e"], [Pattern("?e", ":t", "x"), Not([Not([Pattern("?e", ":n", "?n"), Predicate(number, turned, "?n")])])])) == want
+
+
+def test_intervals_are_merged():
+    n = Pattern("?e", ":n", "?n")
+    several = [Predicate("?n", ">", 1), n, Predicate("?n", ">", 2), Predicate(9, ">", "?n"), Predicate("?n", ">=", 2), Predicate("?n", "!=", 5)]
+    assert narrowed(several) == [several[0], n, Predicate("?n", ">", 2), Predicate("?n", "<", 9), several[-1]]
+    assert narrowed([n, Predicate("?n", ">=", 2), Predicate("?n", "<=", 2)]) == [n, Predicate("?n", "==", 2)]
+    assert narrowed([n, Predicate("?n", ">=", 2), Predicate("?n", "<", 2)]) is None
+
+
+def test_rules_anywhere(spark):
+    f = facts(spark)
+    edges = spark.createDataFrame([("Vehicles", "All"), ("Trucks", "Vehicles"), ("Buildings", "All")], "child string, parent string")
+    name, call = Pattern("?e", ":name", "?c"), RuleCall("?c", "Vehicles")
+    run = lambda *where: [int(e) for e in ids(query(f, ["?e"], [ITEM, *where], edges=edges))]
+    assert run(name, call) == [501] and run(Or([[name, call], [Pattern("?e", ":status", "scheduled")]])) == [501, 503]
+    assert run(name, Not([call])) == [502] and run(call) == []
+    assert [r.doc_id for r in pull(f, [":name"], [ITEM, name, call], edges=edges).collect()] == [501]
+    step = [Pattern("?e", ":category/parent", "?p"), RuleCall("?p", "?r")]
+    rules = [Rule("category-in-tree", [Pattern("?e", ":category/name", "?c")]), Rule("category-in-tree", step)]
+    assert query(f, ["?e"], [ITEM, name, call], edges=edges, rules=rules).count() == 1
+    for wrong in (rules[:1], rules[1:], [rules[0], rules[0]], [*rules, rules[0]]):
+        with pytest.raises(ValueError):
+            query(f, ["?e"], [ITEM, name, call], edges=edges, rules=wrong)
+    with pytest.raises(ValueError):
+        query(f, ["?e"], [ITEM, name, RuleCall("?c", "?d")], edges=edges, rules=rules)
+
+
+def test_clauses_as_dictionaries():
+    where = [ITEM, KM, Pattern("?e", ":x"), Predicate("?k", ">", 5), Or([[ITEM], [Not([KM])]]), FullText("a", ":b"), FullText("c"), RuleCall("?c", "R"), Predicate(Lit("?k"), "==", True)]
+    assert wire.from_dicts(json.loads(json.dumps(wire.to_dicts(where)))) == where
+    for bad in ([{"join": {}}], [{}], [{"pattern": {"value": {"literal": 1}}}], [{"pattern": {"attribute": "a", "value": {}}}], [3], [{"pattern": {"attribute": "a", "value": {"var": "x"}}}]):
+        with pytest.raises(ValueError):
+            wire.from_dicts(bad)
+    with pytest.raises(ValueError):
+        wire.to_dicts(["x"])
+
+
+def test_vectors_by_scope_and_in_blocks(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    x = g.standard_normal((300, 6)).astype(np.float32)
+    v = spark.createDataFrame([("t", "s", f"v{i:03d}", x[i].tolist()) for i in range(300)], VEC)
+    registry = spark.createDataFrame([("t", "s", 6, "Euclidean")], "entity_id string, scope_name string, dim int, metric string")
+    assert [r.vec_id for r in vectors.search_scope(v, registry, "t", "s", x[7].tolist(), 3).orderBy("rank").collect()][0] == "v007"
+    for wrong, error in ((("t", "none", [1.0] * 6), KeyError), (("t", "s", []), ValueError), (("t", "s", [1.0]), ValueError)):
+        with pytest.raises(error):
+            vectors.search_scope(v, registry, *wrong, 3)
+    q = v.where("vec_id < 'v040'").select(F.col("vec_id").alias("query_id"), "v")
+    whole = rows(vectors.search(v, q, 4).select("query_id", "vec_id", "rank"))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 15)
+    monkeypatch.setattr(vectors, "VECTOR_PART", 50)
+    assert rows(vectors.search(v, q, 4).select("query_id", "vec_id", "rank")) == whole and len(whole) == 160
