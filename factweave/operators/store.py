@@ -33,10 +33,15 @@ def as_of(versions: DataFrame, at_ns: int | None = None) -> DataFrame:
     return last.where("not v.deleted").select(*KEYS, "v.at_ns", "v.seq", "v.body")
 
 
+def document(versions: DataFrame, entity_id: str, doc_id: str) -> DataFrame:
+    """The row of :func:`as_of` of one document, or none."""
+    check_ids(entity_id, doc_id)
+    return as_of(versions.where((F.col("entity_id") == entity_id) & (F.col("doc_id") == doc_id)))
+
+
 def get(versions: DataFrame, entity_id: str, doc_id: str) -> str | None:
     """The current body of one document; None if it isn't there."""
-    check_ids(entity_id, doc_id)
-    row = as_of(versions.where((F.col("entity_id") == entity_id) & (F.col("doc_id") == doc_id))).first()
+    row = document(versions, entity_id, doc_id).first()
     return row.body if row else None
 
 

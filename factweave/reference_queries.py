@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.operators import closure, lookup, store, temporal, vectors
-from factweave.operators.query import pull, query, query_as_of
+from factweave.operators.query import matching, pull, query, query_as_of
+from factweave.plans import wire
 from factweave.plans.clauses import Aggregate, FullText, Not, Or, Pattern, Predicate, RuleCall
 from factweave.sources import views
 from factweave.sources.tables import table
@@ -191,6 +194,7 @@ def last_written(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LEAF = f"(select entity_id, doc_id, k as key, json_type(body, '$.' || k) as kind, json_extract_string(body, '$.' || k) as s from (select *, unnest(json_keys(body)) as k from {_OBJECTS}))"
+_LEAF_THEN = _LEAF.replace(_CURRENT, f"(select entity_id, doc_id, nullif(body, '') as body from {_AS_OF(MIDDLE)} where not gone)")
 _TEXT = "case when kind in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast(cast(cast(s as double) as bigint) as varchar) else s end"
 
 
@@ -244,16 +248,92 @@ def stats_stddev(spark: SparkSession, d: str) -> DataFrame:
     return lookup.stats_all(views.current_documents(spark, d)).select("entity_id", "attr", "n", F.round("stddev", 6).alias("stddev"))
 
 
+_ALL_TEXTS = "(select json_type(body, '$.' || k) as kind, json_extract_string(body, '$.' || k) as s from (select unnest(json_keys(body)) as k))"
+
+
+@registered(f"select entity_id, doc_id from {_OBJECTS} where json_extract_string(body, '$.status') = 'active' and exists (select 1 from {_ALL_TEXTS} where kind = 'VARCHAR' and contains(lower(s), 'aul'))")
+def query_fulltext_body(spark: SparkSession, d: str) -> DataFrame:
+    facts = views.body_facts(views.current_documents(spark, d))
+    return matching(facts, [Pattern("?e", "status", "active"), FullText("AUL")], None, None, True)[0].select("entity_id", "doc_id")
+
+
+@registered(f"select doc_id, json_extract_string(body, '$.category') as category, cast(json_extract_string(body, '$.crew') as double) as crew from {_OBJECTS} where json_extract_string(body, '$.status') = 'active'")
+def pull_body(spark: SparkSession, d: str) -> DataFrame:
+    pulled = pull(views.body_facts(views.current_documents(spark, d)), ["category", "crew"], [Pattern("?e", "status", "active")])
+    v = F.parse_json("pulled")
+    return pulled.select("doc_id", F.try_variant_get(v, "$.category", "string").alias("category"), F.try_variant_get(v, "$.crew", "double").alias("crew"))
+
+
+_IN_R2 = "select n_nationkey from nation where n_regionkey = 2"
+
+
+@registered(f"""select c_custkey as doc_id, '{{":customer/name":"' || c_name || '"}}' as pulled from customer where c_mktsegment = 'BUILDING' and c_nationkey in ({_IN_R2})""")
+def pull_rule(spark: SparkSession, d: str) -> DataFrame:
+    where = [Pattern("?e", ":customer/segment", "BUILDING"), Pattern("?e", ":category/name", "?c"), RuleCall("?c", "R2")]
+    return pull(views.customer_facts(spark, d), [":customer/name"], where, edges=views.nation_edges(spark, d))
+
+
+@registered(f"select cast(c_custkey as double) as e from customer where c_mktsegment = 'BUILDING' and (c_nationkey in ({_IN_R2}) or c_acctbal > 9000) and c_nationkey <> 8")
+def query_rule_nested(spark: SparkSession, d: str) -> DataFrame:
+    where = [Pattern("?e", ":customer/segment", "BUILDING"), Pattern("?e", ":category/name", "?c"), Or([[RuleCall("?c", "R2")], [Pattern("?e", ":customer/balance", "?b"), Predicate("?b", ">", 9000)]]), Not([RuleCall("?c", "N8")])]
+    return query(views.customer_facts(spark, d), ["?e"], where, edges=views.nation_edges(spark, d))
+
+
+@registered("select cast(event_id as double) as e, value as v from events where event_type = 'click' and (value > 50 or not user_id >= 10)")
+def query_wire(spark: SparkSession, d: str) -> DataFrame:
+    """A query whose clauses come as JSON."""
+    where = [Pattern("?e", ":event/type", "click"), Pattern("?e", ":event/value", "?v"), Pattern("?e", ":event/user", "?u"), Or([[Predicate("?v", ">", 50)], [Not([Predicate("?u", ">=", 10)])]])]
+    return query(views.event_facts(spark, d), ["?e", "?v"], wire.from_dicts(json.loads(json.dumps(wire.to_dicts(where)))))
+
+
+# Reading and writing documents.
+_FIRST_DOC = f"(select min(doc_id) from doc_version where entity_id = '{TENANT}')"
+
+
+@registered(f"select doc_id, seq, body from {_CURRENT} where entity_id = '{TENANT}' and doc_id = {_FIRST_DOC}")
+def document_get(spark: SparkSession, d: str) -> DataFrame:
+    versions = table(spark, d, "doc_version")
+    first = versions.where(F.col("entity_id") == TENANT).agg(F.min("doc_id")).first()[0]
+    return store.document(versions, TENANT, first).select("doc_id", "seq", "body")
+
+
+@registered(f"select doc_id, seq, body from {_CURRENT} where entity_id = '{TENANT}'")
+def tenant_scan(spark: SparkSession, d: str) -> DataFrame:
+    return store.scan(table(spark, d, "doc_version"), TENANT).select("doc_id", "seq", "body")
+
+
+@registered(f"select doc_id, body from {_CURRENT} where entity_id = '{TENANT}' and doc_id not in ('new-1', 'new-2') union all values ('new-1', '{{\"a\":1}}'), ('new-2', 'opaque')")
+def batch_put(spark: SparkSession, d: str) -> DataFrame:
+    versions = table(spark, d, "doc_version").select("seq", "entity_id", "doc_id", "at_ns", "deleted", "body")
+    new = store.batch_put(spark, TENANT, {"new-1": '{"a":1}', "new-2": "opaque"}, 2**62, 2**61)
+    return store.scan(versions.unionByName(new), TENANT).select("doc_id", "body")
+
+
+@registered("select cast(user_id as varchar) as record_id, cast(event_id as bigint) as ord, event_type as value from events where user_id <> 7")
+def retract_record(spark: SparkSession, d: str) -> DataFrame:
+    facts = table(spark, d, "events").select(F.col("user_id").cast("string").alias("record_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("value"))
+    return store.retract(facts, "7")
+
+
+@registered(f"with now as (select distinct entity_id, doc_id, term from (select entity_id, doc_id, {_TEXT} as term from {_LEAF} union all select entity_id, doc_id, key || ':' || {_TEXT} from {_LEAF}) where term <> ''), then_ as (select distinct entity_id, doc_id, term from (select entity_id, doc_id, {_TEXT} as term from {_LEAF_THEN} union all select entity_id, doc_id, key || ':' || {_TEXT} from {_LEAF_THEN}) where term <> '') select 'gained' as side, * from (select * from now except select * from then_) union all select 'lost', * from (select * from then_ except select * from now)")
+def term_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The index entries that the writes after an instant add and take away."""
+    versions = table(spark, d, "doc_version")
+    both = lookup.term_changes(store.as_of(versions, MIDDLE), store.as_of(versions))
+    side = lambda n: both.select(F.lit(n).alias("side"), "entity_id", "doc_id", F.explode(n).alias("term"))
+    return side("gained").unionByName(side("lost"))
+
+
 # Events of items.
 def _entries_sql() -> str:
     from factweave.queries import ENTRIES_SQL
 
-    return f"with {ENTRIES_SQL}, ev as (select distinct entity_id, item_id, lpad(cast(entry_id as varchar), 20, '0') as doc_id, entry_type as type, at_ns from entry) "
+    return f"with recursive {ENTRIES_SQL}, ev as (select distinct entity_id, item_id, lpad(cast(entry_id as varchar), 20, '0') as doc_id, entry_type as type, at_ns from entry) "
 
 
-@registered("EV select entity_id, doc_id, type, at_ns from ev where item_id = '" + ITEM + "' and type in ('inspect', 'fault')")
+@registered("EV select doc_id, type, at_ns from ev where entity_id = '" + TENANT + "' and item_id = '" + ITEM + "' and type in ('inspect', 'fault')")
 def window_query(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.window_query(views.entry_events(spark, d), ITEM, ["inspect", "fault"]).select("entity_id", "doc_id", "type", "at_ns")
+    return temporal.window_query(views.entry_events(spark, d, TENANT, ITEM), TENANT, ITEM, ["inspect", "fault"]).select("doc_id", "type", "at_ns")
 
 
 @registered("EV select entity_id, item_id, type, max(at_ns) as last_ns from ev group by all")
@@ -271,11 +351,30 @@ def group_count(spark: SparkSession, d: str) -> DataFrame:
     return temporal.group_count(views.entry_events(spark, d), ["type"])
 
 
-@registered()
+@registered(f"""EV , f as (
+        select *, row_number() over w as rn, count(*) over (partition by entity_id, item_id order by at_ns range between unbounded preceding and {DAY} following) - row_number() over w + 1 as size
+        from ev where type = 'fault' window w as (partition by entity_id, item_id order by at_ns, doc_id)),
+    walk as (
+        select entity_id, item_id, rn, size, cast(0 as bigint) as before from f where rn = 1
+        union all select f.entity_id, f.item_id, f.rn, f.size, w.before + case when w.size >= 3 then 1 else 0 end
+        from walk w join f on f.entity_id = w.entity_id and f.item_id = w.item_id and f.rn = w.rn + case when w.size >= 3 then w.size else 1 end)
+    select f.entity_id, f.item_id, w.before + 1 as cluster_no, f.rn - w.rn + 1 as pos, f.at_ns, f.doc_id
+    from walk w join f on f.entity_id = w.entity_id and f.item_id = w.item_id and f.rn between w.rn and w.rn + w.size - 1 where w.size >= 3""")
 def cluster_query(spark: SparkSession, d: str) -> DataFrame:
     return temporal.clusters(views.entry_events(spark, d), ["fault"], DAY, 3)
 
 
+@registered(f"select entity_id, item_id, key as attr, count(distinct doc_id) as n from (select l.*, json_extract_string(o.body, '$.item_id') as item_id, json_type(o.body, '$.item_id') as it from {_LEAF} l join {_OBJECTS} o using (entity_id, doc_id)) where it = 'VARCHAR' and key <> 'item_id' and kind in ('VARCHAR', 'BOOLEAN', 'UBIGINT', 'BIGINT', 'DOUBLE') group by all")
+def group_count_bodies(spark: SparkSession, d: str) -> DataFrame:
+    rows = temporal.group_count_bodies(views.current_documents(spark, d))
+    return rows.groupBy("entity_id", "item_id", "attr").agg(F.sum("n").alias("n"))
+
+
+@registered(f"select doc_id from {_OBJECTS} where entity_id = '{TENANT}' and json_type(body, '$.item_id') = 'VARCHAR' and json_extract_string(body, '$.item_id') = '{ITEM}' and json_extract_string(body, '$.status') = 'active'")
+def group_documents(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.group_documents(views.current_documents(spark, d), TENANT, ITEM, "status", "active")
+
+
 @registered("EV select entity_id, item_id, cast(1 as bigint) as cluster_no, row_number() over (partition by entity_id, item_id order by at_ns, doc_id) as pos, at_ns, doc_id from ev where type = 'fault' qualify count(*) over (partition by entity_id, item_id) >= 3")
 def cluster_unbounded(spark: SparkSession, d: str) -> DataFrame:
     return temporal.clusters(views.entry_events(spark, d), ["fault"], 0, 3)
@@ -290,7 +389,14 @@ def sequence_2(spark: SparkSession, d: str) -> DataFrame:
     return temporal.followed_by(views.entry_events(spark, d), "fault", "repair", DAY)
 
 
-@registered()
+@registered(f"""EV , r as (select *, row_number() over (partition by entity_id, item_id order by at_ns, doc_id) as rn from ev where type in ('fault', 'repair', 'inspect')),
+    n as (select *, min(case when type = 'repair' then rn end) over w as repair, min(case when type = 'inspect' then rn end) over w as inspect
+        from r window w as (partition by entity_id, item_id order by rn rows between 1 following and unbounded following)),
+    fits as (select a.entity_id, a.item_id, min((a.rn, a.repair, b.inspect)) as m from n a
+        join n b on b.entity_id = a.entity_id and b.item_id = a.item_id and b.rn = a.repair join n c on c.entity_id = a.entity_id and c.item_id = a.item_id and c.rn = b.inspect
+        where a.type = 'fault' and c.at_ns - a.at_ns <= {3 * DAY} group by all)
+    select r.entity_id, r.item_id, cast(case r.rn when m[1] then 1 when m[2] then 2 else 3 end as bigint) as pos, r.type, r.at_ns, r.doc_id
+    from fits join r on r.entity_id = fits.entity_id and r.item_id = fits.item_id and r.rn in (m[1], m[2], m[3])""")
 def sequence_3(spark: SparkSession, d: str) -> DataFrame:
     return temporal.sequences(views.entry_events(spark, d), ["fault", "repair", "inspect"], 3 * DAY)
 
@@ -352,25 +458,58 @@ def vector_cosine_batch(spark: SparkSession, d: str) -> DataFrame:
     return _knn(spark, d, "cast(vec_id as bigint) % 20 = 0", "cosine")
 
 
-_LAST_WRITE = "(select * from vec_data where op in ('put', 'delete') and (op = 'delete' or v is not null) qualify row_number() over (partition by entity_id, scope_name, vec_id order by row_no desc) = 1)"
+_VECTORS = """(select entity_id, scope_name, vec_id, v, metric from (
+    select w.*, r.metric from vec_data w join vec_registry r using (entity_id, scope_name)
+    where op = 'delete' or (op = 'put' and v is not null and len(v) = dim and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0)
+    qualify row_number() over (partition by entity_id, scope_name, vec_id order by row_no desc) = 1) where op = 'put')"""
 
 
-def _last_vectors(spark: SparkSession, d: str) -> DataFrame:
-    last = table(spark, d, "vec_data").where("op = 'delete' or (op = 'put' and v is not null)").groupBy("entity_id", "scope_name", "vec_id").agg(F.max_by(F.struct("op", "v"), "row_no").alias("w"))
-    return last.where("w.op = 'put'").select("entity_id", "scope_name", "vec_id", "w.v")
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    registry = table(spark, d, "vec_registry")
+    return vectors.accepted(table(spark, d, "vec_data"), registry).select("entity_id", "scope_name", "vec_id", "v"), registry
 
 
-@registered(f"select r.entity_id, r.scope_name, dim, metric, count(x.vec_id) as n from vec_registry r left join (select * from {_LAST_WRITE} where op = 'put') x on x.entity_id = r.entity_id and x.scope_name = r.scope_name group by all")
+@registered(f"select r.entity_id, r.scope_name, dim, r.metric, count(x.vec_id) as n from vec_registry r left join {_VECTORS} x on x.entity_id = r.entity_id and x.scope_name = r.scope_name group by all")
 def vector_scopes(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.scopes(_last_vectors(spark, d), table(spark, d, "vec_registry"))
+    return vectors.scopes(*_vectors(spark, d))
 
 
-@registered(f"select scope_name, count(*) as n from {_LAST_WRITE} where op = 'put' and not (entity_id = '{TENANT}' and scope_name = 'photo_tags') group by all")
+@registered(f"select scope_name, count(*) as n from {_VECTORS} where not (entity_id = '{TENANT}' and scope_name = 'photo_tags') group by all")
 def vector_drop_scope(spark: SparkSession, d: str) -> DataFrame:
-    left, _ = vectors.drop_scope(_last_vectors(spark, d), table(spark, d, "vec_registry"), TENANT, "photo_tags")
+    left, _ = vectors.drop_scope(*_vectors(spark, d), TENANT, "photo_tags")
     return left.groupBy("scope_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+_ONES = f"[{', '.join(['1.0'] * 64)}]"
+
+
+@registered(f"""select vec_id, cast(row_number() over (order by d, vec_id) as integer) as rank, round(d, 5) as distance from (
+    select vec_id, 1 - list_cosine_similarity(cast(v as double[]), cast({_ONES} as double[])) as d from {_VECTORS} where entity_id = '{TENANT}' and scope_name = 'photo_tags' and len(list_filter(v, lambda x: x <> 0)) > 0)
+    order by d, vec_id limit 10""")
+def vector_search_scope(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.search_scope(*_vectors(spark, d), TENANT, "photo_tags", [1.0] * 64, 10).select("vec_id", "rank", F.round("distance", 5).alias("distance"))
+
+
+@registered(f"""with w as (select *, ntile(2) over (order by row_no) as half from vec_data where op = 'put' and v is not null and len(v) = 64 and scope_name = 'photo_tags' and entity_id = '{TENANT}')
+    select vec_id, arg_max(row_no, row_no) as row_no, cast(arg_max(v[1], row_no) as double) as first from w where vec_id is not null group by vec_id""")
+def vector_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Two inserts of a scope's puts, the later half of them second."""
+    puts = table(spark, d, "vec_data").where((F.col("op") == "put") & (F.size("v") == 64) & (F.col("scope_name") == "photo_tags") & (F.col("entity_id") == TENANT) & F.col("vec_id").isNotNull())
+    middle = puts.agg(F.avg("row_no")).first()[0] or 0
+    empty = spark.createDataFrame([], "entity_id string, scope_name string, vec_id string, v array<float>"), spark.createDataFrame([], "entity_id string, scope_name string, dim int, metric string")
+    stored, registry = vectors.insert(*empty, puts.where(F.col("row_no") <= middle), "row_no")
+    stored, _ = vectors.insert(stored, registry, puts.where(F.col("row_no") > middle), "row_no")
+    last = puts.groupBy("vec_id").agg(F.max("row_no").alias("row_no"))
+    return stored.join(last, "vec_id").select("vec_id", "row_no", F.col("v")[0].cast("double").alias("first"))
+
+
+@registered(f"select scope_name, vec_id from {_VECTORS} where entity_id = '{TENANT}' and vec_id <> (select min(vec_id) from {_VECTORS} where entity_id = '{TENANT}' and scope_name = 'photo_tags')")
+def vector_delete(spark: SparkSession, d: str) -> DataFrame:
+    live = _vectors(spark, d)[0].where(F.col("entity_id") == TENANT)
+    first = live.where("scope_name = 'photo_tags'").agg(F.min("vec_id")).first()[0]
+    return vectors.delete(live, TENANT, "photo_tags", first).where(F.col("vec_id") != first).select("scope_name", "vec_id")
+
+
 # Change feed and operation log.
 _FEED = """(select seq, entity_id, doc_id, case when gone then 'retract' when old_doc is null then 'assert' else 'change' end as kind, old_doc, new_doc from (
     select *, lag(new_doc) over (partition by entity_id, doc_id order by seq) as old_doc from (
@@ -398,6 +537,12 @@ def oplog_trim(spark: SparkSession, d: str) -> DataFrame:
     return feed.trim(table(spark, d, "doc_version"), 500).select("seq", "entity_id", "doc_id")
 
 
+@registered("select seq, entity_id, doc_id from doc_version where seq >= (select max(seq) from doc_version) - 99")
+def oplog_tail(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "doc_version")
+    return feed.tail(log, log.agg(F.max("seq")).first()[0] - 99).select("seq", "entity_id", "doc_id")
+
+
 @registered("select max(seq) as current_seq, min(seq) as min_seq, cast(0 as bigint) as applied_seq from doc_version")
 def oplog_status(spark: SparkSession, d: str) -> DataFrame:
     return feed.status(table(spark, d, "doc_version"))
