@@ -20,9 +20,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_kept: set[str] = set()
+
+
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, unused folder name below the shared folder."""
-    return f"{shared_root(spark)}/factweave/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused folder name below the application's part of the shared folder, which is deleted when the application ends."""
+    own = f"{shared_root(spark)}/factweave/{spark.sparkContext.applicationId}"
+    if own not in _kept:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _kept.add(own)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
 
 
 class SharedFiles:
@@ -40,6 +50,12 @@ class SharedFiles:
         p, fs = self._at(path)
         return fs.exists(p)
 
+    def children(self, path: str, prefix: str) -> list[str]:
+        """What follows ``prefix`` in the names of the folder's entries that begin so."""
+        p, fs = self._at(path)
+        names = [str(f.getPath().getName()) for f in fs.listStatus(p)] if fs.exists(p) else []
+        return [n.removeprefix(prefix) for n in names if n.startswith(prefix)]
+
     def read_json(self, path: str):
         p, fs = self._at(path)
         if not fs.exists(p):
