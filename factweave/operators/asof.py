@@ -63,7 +63,7 @@ def asof_join(events: DataFrame, versions: DataFrame, rows_per_bucket: int = ROW
         # The last version of each chunk also enters the later chunks up to the next one that has versions of its own.
         last = rows.where(f"id is null and {skew.SPLIT} is not null").groupBy(*KEYS, skew.CHUNK).agg(F.max(F.struct("at_ns", "seq", "live")).alias("m"), F.first(skew.SPLIT).alias(skew.SPLIT))
         following = F.lead(skew.CHUNK, 1).over(Window.partitionBy(*KEYS).orderBy(skew.CHUNK))
-        carried = last.withColumn("upto", F.coalesce(following, F.size(skew.SPLIT))).where(F.col("upto") > F.col(skew.CHUNK))
+        carried = last.withColumn("upto", F.coalesce(following, F.col(skew.SPLIT))).where(F.col("upto") > F.col(skew.CHUNK))
         carried = carried.withColumn(skew.CHUNK, F.explode(F.sequence(F.col(skew.CHUNK) + 1, F.col("upto"))))
         carried = carried.select(F.lit(None).cast("bigint").alias("id"), *KEYS, "m.at_ns", "m.seq", "m.live", skew.CHUNK)
         rows = rows.select(*columns).unionByName(carried)

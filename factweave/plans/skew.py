@@ -3,7 +3,7 @@
 A *chunk* is a range of a key's order column. Ordinary keys have chunk 0 only. A key with more than ``rows_per_chunk``
 rows is split at quantiles of the order column, so that a key with a third of a table becomes many tasks. The split
 points are at most ``2 * rows / rows_per_chunk`` numbers over all keys, whatever the keys are; only that table, and one
-edge row per chunk of a split key, is joined back.
+edge row per chunk of a split key, is joined back. Key columns must not be NULL.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 500_000
-MAX_PIECES = 4096
+#: Most chunks of a key; one with more rows than that has larger chunks.
+MAX_PIECES = 16_384
+#: Chunk number, and the number of split points of the row's key, NULL if it isn't split.
 CHUNK, SPLIT = "__chunk", "__split"
+#: Split points are searched in two steps: among every STRIDE-th, then among those that follow.
+STRIDE = 64
 
 
 def split_points(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame | None, int]:
@@ -27,9 +31,8 @@ def split_points(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk:
         return None, summary[2]
     sizes = sizes.where(F.col("__n") > rows_per_chunk)
     pieces = min(MAX_PIECES, -(-summary[1] // rows_per_chunk))
-    few = sizes.select(*[F.col(k).alias(f"__p_{k}") for k in keys], "__n")
-    few = F.broadcast(few) if summary[0] <= 10_000 else few
-    hot = df.join(few, [F.col(k).eqNullSafe(F.col(f"__p_{k}")) for k in keys]).select(*keys, order, "__n")
+    few = F.broadcast(sizes) if summary[0] <= 10_000 else sizes
+    hot = df.select(*keys, order).join(few, keys)
     quantiles = F.percentile_approx(order, [i / pieces for i in range(1, pieces)] or [0.5], F.lit(max(1000, 20 * pieces)))
     step = F.greatest(F.lit(1), F.floor(F.lit(pieces) * rows_per_chunk / F.col("__n"))).cast("int")
     points = (
@@ -43,10 +46,11 @@ def with_chunk(df: DataFrame, keys: Sequence[str], order: str, points: DataFrame
     """``df`` with the column ``__chunk``: 0, or how many split points lie before the row's order value."""
     if points is None:
         return df.withColumn(CHUNK, F.lit(0))
-    p = points.select(*[F.col(k).alias(f"__p_{k}") for k in keys], SPLIT)
-    joined = df.join(p, [F.col(k).eqNullSafe(F.col(f"__p_{k}")) for k in keys], "left")
-    chunk = F.expr(f"size(filter({SPLIT}, x -> x < {order}))")
-    return joined.withColumn(CHUNK, F.when(F.col(SPLIT).isNull(), 0).otherwise(chunk)).drop(*[f"__p_{k}" for k in keys])
+    joined = df.join(points.withColumnRenamed(SPLIT, "__points").withColumn("__heads", F.expr(f"filter(__points, (x, i) -> i % {STRIDE} = 0)")), keys, "left")
+    before = F.expr(f"size(filter(__heads, x -> x < {order})) - 1") * STRIDE
+    joined = joined.withColumn("__from", before)
+    chunk = F.expr(f"case when __points is null or __from < 0 then 0 else __from + size(filter(slice(__points, __from + 1, {STRIDE}), x -> x < {order})) end")
+    return joined.withColumn(CHUNK, chunk).withColumn(SPLIT, F.when(F.col("__points").isNotNull(), F.size("__points"))).drop("__points", "__heads", "__from")
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, ahead: bool, split: bool) -> DataFrame:
@@ -63,6 +67,5 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: C
     pick = F.min_by if ahead else F.max_by
     edges = df.where(F.col(SPLIT).isNotNull()).groupBy(*keys, CHUNK).agg(pick(value, F.struct(*order)).alias("__edge"))
     over = Window.partitionBy(*keys).orderBy(CHUNK)
-    edges = edges.select(*[F.col(k).alias(f"__e_{k}") for k in keys], F.col(CHUNK).alias("__e_chunk"), (F.lead if ahead else F.lag)("__edge", 1).over(over).alias("__edge"))
-    found = df.withColumn(name, near).join(F.broadcast(edges), [*[F.col(k).eqNullSafe(F.col(f"__e_{k}")) for k in keys], F.col(CHUNK) == F.col("__e_chunk")], "left")
-    return found.withColumn(name, F.coalesce(name, "__edge")).drop("__edge", "__e_chunk", *[f"__e_{k}" for k in keys])
+    edges = edges.select(*keys, CHUNK, (F.lead if ahead else F.lag)("__edge", 1).over(over).alias("__edge"))
+    return df.withColumn(name, near).join(edges, [*keys, CHUNK], "left").withColumn(name, F.coalesce(name, "__edge")).drop("__edge")
