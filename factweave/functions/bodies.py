@@ -36,57 +36,37 @@ def _hash(text: str) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _canonical(value) -> str:
-    return value if isinstance(value, str) else json.dumps(value, sort_keys=True, separators=(",", ":"))
-
-
-def attribute_hashes(body: str | None) -> dict[str, int]:
-    """The hash of each top-level attribute of an object; of anything else one hash under the empty name."""
+def satellite_parts(body: str | None, satellites: dict[str, int], n: int) -> list[str | None]:
+    """One text per satellite: 0 to n-1 the object's attributes by ``satellites`` (those it doesn't name go to n-1), n what is
+    no object: ``T`` before a text that isn't JSON, ``J`` before other JSON; NULL where there is nothing."""
     if body is None:
-        return {"": 0}
+        return [None] * (n + 1)
     is_json, value = parse(body)
-    if is_json and isinstance(value, dict):
-        return {k: _hash(("s" if isinstance(v, str) else "j") + _canonical(v)) for k, v in value.items()}
-    return {"": _hash(("J" + json.dumps(value, sort_keys=True)) if is_json else "T" + value)}
+    if not is_json or not isinstance(value, dict):
+        return [None] * n + [("J" + json.dumps(value, sort_keys=True, separators=(",", ":"))) if is_json else "T" + value]
+    parts: list[dict] = [{} for _ in range(n)]
+    for k, v in value.items():
+        parts[satellites.get(k, n - 1)][k] = v
+    return [json.dumps(p, sort_keys=True, separators=(",", ":")) for p in parts] + [None]
 
 
 def satellite_hashes(body: str | None, satellites: dict[str, int], n: int) -> list[int]:
-    """One hash per satellite: 0 to n-1 by ``satellites`` (attributes it doesn't name go to n-1), n for non-objects."""
+    """One hash per satellite of :func:`satellite_parts`."""
     if body is None:
         return [0] * n + [1]
-    is_json, value = parse(body)
-    if not is_json or not isinstance(value, dict):
-        return [0] * n + [_hash(("J" + json.dumps(value, sort_keys=True, separators=(",", ":"))) if is_json else "T" + value)]
-    parts: list[dict] = [{} for _ in range(n)]
-    for k, v in value.items():
-        parts[satellites.get(k, n - 1)][k] = v
-    return [_hash(json.dumps(p, sort_keys=True, separators=(",", ":"))) for p in parts] + [0]
+    return [_hash(p) if p is not None else 0 for p in satellite_parts(body, satellites, n)]
 
 
 def satellites_udf(column: str, satellites: dict[str, int], n: int):
-    """For ``mapInArrow``: replaces ``column`` by ``state``, the list of satellite hashes."""
+    """For ``mapInArrow``: replaces ``column`` by ``state``, the list of satellite hashes, and ``parts``, that of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = b.schema.get_field_index(column)
-            states = pa.array([satellite_hashes(x, satellites, n) for x in b.column(i).to_pylist()], pa.list_(pa.int64()))
+            bodies = b.column(i).to_pylist()
+            parts = [satellite_parts(x, satellites, n) for x in bodies]
+            hashes = [[0] * n + [1] if x is None else [_hash(t) if t is not None else 0 for t in p] for x, p in zip(bodies, parts)]
             names = [x for x in b.schema.names if x != column]
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(x)) for x in names], states], [*names, "state"])
-
-    return run
-
-
-def attributes_udf(column: str):
-    """For ``mapInArrow``: rows ``doc`` (hash), ``attribute``, ``value`` (hash of document, attribute and value)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, names, values = [], [], []
-            for d, body in zip(b.column(b.schema.get_field_index("doc")).to_pylist(), b.column(b.schema.get_field_index(column)).to_pylist()):
-                for k, h in attribute_hashes(body).items():
-                    docs.append(d)
-                    names.append(k)
-                    values.append(h ^ d)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(names, pa.string()), pa.array(values, pa.int64())], ["doc", "attribute", "value"])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(x)) for x in names], pa.array(hashes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.string()))], [*names, "state", "parts"])
 
     return run
