@@ -1,9 +1,9 @@
 """Sessions of activity by a sweep line over event deltas.
 
-Every entry puts +1 at its instant and -1 at that instant plus the gap. Where the running sum of a key comes back to
-zero, a session closes. The sweep runs twice: first within (key, time bucket), so that a hot key's rows spread over as
-many tasks as there are buckets, then over the fragments that came out of it. Fragments of one key are more than the
-gap apart within a bucket, so a key has at most (time span / gap + number of buckets) of them however many rows it has.
+Every stretch of activity puts +1 at its first instant and -1 at its last plus the gap. Where the running sum of a key comes
+back to zero, a session closes. Entries of a key within one bucket of time as wide as the gap are always of one session, so
+each bucket is one stretch: its ends and its number of entries are aggregated before the sweep, combined in each task
+before the shuffle. A key has at most (time span / gap) stretches however many rows it has.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ GAP_NS = 1_800_000_000_000
 
 def _close(deltas: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Session numbers for rows ``ts, delta, weight``: how often the running sum was zero before the row."""
-    w = Window.partitionBy(*keys).orderBy("ts", F.desc("delta"), "tie")
+    w = Window.partitionBy(*keys).orderBy("ts", F.desc("delta"))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     swept = deltas.withColumn("open", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return swept.withColumn("no", F.coalesce(F.sum((F.col("open") == 0).cast("long")).over(before), F.lit(0)))
 
 
-def sessions(entries: DataFrame, keys: Sequence[str], at: str, identity: str, gap_ns: int = GAP_NS, bucket_ns: int | None = None) -> DataFrame:
+def sessions(entries: DataFrame, keys: Sequence[str], at: str, identity: str, gap_ns: int = GAP_NS) -> DataFrame:
     """Sessions as ``*keys, start_ns, end_ns, duration_ns, n_entries``.
 
     entries: rows with the keys, an instant ``at`` (BIGINT) and an ``identity``; rows of one identity (repeated
@@ -33,24 +33,16 @@ def sessions(entries: DataFrame, keys: Sequence[str], at: str, identity: str, ga
     empty table gives no sessions; other columns are ignored, whatever their names.
     """
     keys = list(keys)
-    bucket_ns = bucket_ns or 12 * gap_ns
     names = [f"k{i}" for i in range(len(keys))]
     rows = entries.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(at).alias("t"), F.col(identity).alias("id")).where(" and ".join(f"{c} is not null" for c in [*names, "t", "id"])).where(F.col("t") <= 2**63 - 1 - gap_ns)
-    rows = rows.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_ns)))
-    first = [*names, "bucket"]
-    deltas = rows.repartition(*first).select(
-        *first, F.inline(F.array(
-            F.struct(F.col("t").alias("ts"), F.lit(1).alias("delta"), F.col("id").alias("tie")),
-            F.struct((F.col("t") + gap_ns).alias("ts"), F.lit(-1).alias("delta"), F.col("id").alias("tie")),
-        )))
-    w = Window.partitionBy(*first).orderBy("ts", F.desc("delta"), "tie")
-    again = (F.lag("tie").over(w) == F.col("tie")) & (F.lag("delta").over(w) == 1)
-    deltas = deltas.withColumn("weight", F.when((F.col("delta") == 1) & ~F.coalesce(again, F.lit(False)), 1).otherwise(0))
-    fragments = _close(deltas, first).groupBy(*first, "no").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.sum("weight").alias("n"))
-    second = fragments.select(
+    width = max(1, gap_ns)
+    bucket = F.expr(f"t div {width}L - case when t < 0 and t % {width}L <> 0 then 1 else 0 end")
+    once = rows.groupBy(*names, bucket.alias("bucket"), "id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    stretches = once.groupBy(*names, "bucket").agg(F.min("lo").alias("lo"), (F.max("hi") + gap_ns).alias("hi"), F.count(F.lit(1)).alias("n"))
+    deltas = stretches.select(
         *names, F.inline(F.array(
-            F.struct(F.col("lo").alias("ts"), F.lit(1).alias("delta"), F.lit(0).alias("tie"), F.col("n").alias("weight")),
-            F.struct(F.col("hi").alias("ts"), F.lit(-1).alias("delta"), F.lit(0).alias("tie"), F.lit(0).cast("long").alias("weight")),
+            F.struct(F.col("lo").alias("ts"), F.lit(1).alias("delta"), F.col("n").alias("weight")),
+            F.struct(F.col("hi").alias("ts"), F.lit(-1).alias("delta"), F.lit(0).cast("long").alias("weight")),
         )))
-    out = _close(second, names).groupBy(*names, "no").agg(F.min("ts").alias("start_ns"), (F.max("ts") - gap_ns).alias("end_ns"), F.sum("weight").alias("n_entries"))
+    out = _close(deltas, names).groupBy(*names, "no").agg(F.min("ts").alias("start_ns"), (F.max("ts") - gap_ns).alias("end_ns"), F.sum("weight").alias("n_entries"))
     return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], "start_ns", "end_ns", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"), "n_entries")
