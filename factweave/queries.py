@@ -12,7 +12,7 @@ from factweave.sources.tables import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.document_history(table(spark, d, "doc_version")).select("entity_id", "doc_id", "valid_from_ns", "valid_to_ns")
+    return history.document_history(table(spark, d, "doc_version"), fresh_dir(spark, "satellites")).select("entity_id", "doc_id", "valid_from_ns", "valid_to_ns")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,9 +23,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     meta = table(spark, d, "doc_meta")
     consumer = incremental.Consumer(spark, fresh_dir(spark, "consumer"))
-    runs = table(spark, d, "sync_run").where("status = 'ok' and run_no is not null").orderBy("run_no").collect()
+    runs = table(spark, d, "sync_run").where("run_no is not null").orderBy("run_no").collect()
     for r in runs:
-        consumer.run(r.run_no, meta.where(F.col("delivery_no") <= r.upto_delivery))
+        try:  # runs that failed do all their work, but never come to their commit
+            consumer.run(r.run_no, meta.where(F.col("delivery_no") <= r.upto_delivery), fail_before_commit=r.status != "ok")
+        except RuntimeError:
+            if r.status == "ok":
+                raise
     return consumer.taken().select("run_no", "entity_id", "doc_id", F.when(F.col("doc_version") != incremental.LOWEST, F.col("doc_version")).alias("doc_version"))
 
 
