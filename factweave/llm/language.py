@@ -1,8 +1,8 @@
 """Languages of subtitle files and of their cues by nearest centroids.
 
 A cue is the sum of the TF-IDF vectors of its words' character n-grams (pairs and triples with the word's edges, and the
-whole word), scaled by the length its words have on their own. Every language has several centroids, clustered from
-the cues of a bounded sample of labelled files; the sample first loses what its own means contradict, so wrong labels
+whole word), scaled to length one. Every language has several centroids, clustered from the cues of a bounded sample of
+labelled files, drawn from each language on its own; the sample first loses what its own means contradict, so wrong labels
 and foreign passages don't make clusters. A cue has the language of the nearest centroid by cosine, or none if even that
 is too far. All cues of a file are classified where the file is read; nothing is shuffled.
 """
@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.plans.spread import spread
@@ -29,16 +31,20 @@ LANGUAGES = {
 CODES = list(LANGUAGES)
 NAMED = {n: code for code, names in LANGUAGES.items() for n in (code, *names)}
 
-#: Labelled files the centroids are fitted on at most, centroids per language, n-grams kept.
-SAMPLE_FILES, CENTROIDS, FEATURES = 1500, 8, 80_000
+#: Labelled files of each language that the centroids are fitted on at most, centroids per language, n-grams kept.
+SAMPLE_FILES, CENTROIDS, FEATURES = 125, 8, 80_000
+#: Numbers for n-grams that aren't kept; they have no weight in a centroid, but one in the length of a cue.
+UNKNOWN = 1 << 16
 #: Rounds that add a centroid to each language whose cues others come too near.
 REPAIRS = 8
+#: Share of a language's cues that must be so near to another for a centroid to be added.
+REPAIR_SHARE = 0.0003
 #: Weight of an n-gram that all languages use alike, against 1 more for one that a single language uses.
 SHARED = 0.05
 #: Lead of another language, as a share of its cosine, from which on a training cue isn't taken to be of its file's label.
 CONTRADICTION = 0.3
 #: A cue nearer than this share of the training cues' usual cosine to no centroid has no language.
-REJECT = 0.35
+REJECT = 0.45
 #: By how much a foreign language must beat the file's own, as a share of its cosine, alone and beside cues of the same.
 MARGIN, MARGIN_BESIDE = 0.2, 0.04
 #: Lead of the nearest language, as a share of its cosine, under which the sentences of a cue vote.
@@ -55,6 +61,8 @@ _ADVERT = re.compile(
     rf"https?:|www\.|@|►|◄|\(dot\)|\[dot\]|[^\W_]\.{_TOP}|(?<=[^\W\d_])[\d-][^\W_]* ?\. ?{_TOP}"
     rf"|{_CRAFT} (?:&|and) {_CRAFT}|[Ss]ubtitles by|[Rr]ate this (?:sub|file)"
 )
+#: The number of the next cue, behind an empty line; letters that recognition takes for digits count as such.
+_NUMBER = re.compile(r"\n[ \t]*\n[ \t]*[\dlIOoSB|]{1,6}\s*(?=\x00)")
 _WORD = re.compile(r"[^\W\d_]+|[\x00.!?…]")
 #: What stands between sentences; \x00 stands between cues.
 STOPS = ".!?…"
@@ -114,6 +122,7 @@ def cue_words(text: str | None) -> list[str]:
     if not bodies:
         return []
     joined = "\x00".join(["", *bodies, ""])
+    joined = _NUMBER.sub("\n", joined)
     if "&" in joined:
         joined = html.unescape(joined)
     return _WORD.findall(_NOISE.sub(" ", _without_adverts(repair(joined))).lower())[:-1]
@@ -131,22 +140,37 @@ class Model:
     def __init__(self, index: dict[str, int], idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, usual: float):
         self.index, self.idf, self.centroids, self.of, self.usual = index, idf, centroids, of, usual
 
-    def word_rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word its products with the centroids, and its squared length."""
-        flat, ends, unknown = [], [], []
-        get = self.index.get
+    def word_rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word its products with the centroids, the numbers of its n-grams, and where each word's end."""
+        flat, ends = [], []
+        get, n = self.index.get, len(self.index)
         for w in words:
-            have = [i for g in grams(w) if (i := get(g)) is not None]
-            flat += have
+            flat += [n + (zlib.crc32(g.encode("utf-8", "surrogatepass")) & (UNKNOWN - 1)) if (i := get(g)) is None else i for g in grams(w)]
             ends.append(len(flat))
-            unknown.append(2 * len(w) + 2 - len(have))
         flat, ends = np.array(flat, np.int64), np.array(ends, np.int64)
-        weights = self.idf[flat]
+        known = flat < n
         total = np.zeros((len(flat) + 1, self.centroids.shape[0]), np.float32)
-        np.cumsum(self.centroids[:, flat].T * weights[:, None], axis=0, out=total[1:])
-        square = np.concatenate([[0.0], np.cumsum(weights.astype(np.float64) ** 2)])
+        np.cumsum(self.centroids[:, np.where(known, flat, 0)].T * np.where(known, self.idf[np.where(known, flat, 0)], 0)[:, None], axis=0, out=total[1:])
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-        return total[ends] - total[starts], square[ends] - square[starts] + np.maximum(unknown, 0) * float(self.idf.max()) ** 2
+        return total[ends] - total[starts], flat.astype(np.uint32), ends
+
+    def lengths(self, cue: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """The lengths of the vectors of cues 0 to n-1, of which each (cue, gram) is an n-gram; cues must ascend."""
+        weights = np.append(self.idf, np.full(UNKNOWN, self.idf.max(), self.idf.dtype)).astype(np.float64)
+        step = (2**32 - 1) // len(weights)
+        square = np.zeros(n)
+        for low in range(0, n, step):
+            a, b = np.searchsorted(cue, (low, low + step))
+            if a == b:
+                continue
+            key = np.sort((cue[a:b] - low).astype(np.uint32) * np.uint32(len(weights)) + gram[a:b])
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            count = np.diff(np.append(first, len(key)))
+            key = key[first]
+            at = key // np.uint32(len(weights))
+            size = min(step, n - low)
+            square[low : low + size] = np.bincount(at, (weights[key - at * np.uint32(len(weights))] * count) ** 2, size)
+        return np.sqrt(np.maximum(square, 1e-18))
 
 
 class Classifier:
@@ -159,13 +183,15 @@ class Classifier:
     def _forget(self) -> None:
         self.known: dict[str, int] = {c: i for i, c in enumerate("\x00" + STOPS)}
         n = len(self.known)
-        self.rows, self.squares, self.letters = np.zeros((n, self.model.centroids.shape[0]), np.float32), np.zeros(n), np.zeros(n, np.int64)
+        self.rows, self.letters = np.zeros((n, self.model.centroids.shape[0]), np.float32), np.zeros(n, np.int64)
+        self.grams, self.ends = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
 
-    def __call__(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text of :func:`cue_words` the positions of the cues with speech and their cosines by language.
+    def __call__(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text of :func:`cue_words` the positions of the cues with speech, their cosines by language, and votes.
 
         In a cue of several sentences few but telling words of one could outweigh the others. So where the nearest
-        language doesn't lead clearly, the sentences vote by their letters, and the language of most takes the best cosine.
+        language doesn't lead clearly, the sentences vote by their letters: a row of votes is the share of the letters of each
+        language, or zeros where there was no vote or it was for the nearest language.
         """
         if len(self.known) > CACHE_WORDS:
             self._forget()
@@ -174,9 +200,10 @@ class Classifier:
         new = [w for w in dict.fromkeys(flat) if w not in known]
         for s in range(0, len(new), 4096):
             some = new[s : s + 4096]
-            rows, squares = self.model.word_rows(some)
+            rows, own, ends = self.model.word_rows(some)
             known.update(zip(some, range(len(self.rows), len(self.rows) + len(some))))
-            self.rows, self.squares = np.concatenate([self.rows, rows]), np.concatenate([self.squares, squares])
+            self.rows, self.ends = np.concatenate([self.rows, rows]), np.concatenate([self.ends, len(self.grams) + ends])
+            self.grams = np.concatenate([self.grams, own])
             self.letters = np.concatenate([self.letters, np.array([len(w) for w in some])])
         ids = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -188,17 +215,20 @@ class Classifier:
         spoken = ~opens & has_words[cue]
         cue, ids, text = cue[spoken], ids[spoken], text[spoken]
         if not len(ids):
-            return [(np.zeros(0, np.int64), np.zeros((0, len(CODES)), np.float32))] * len(texts)
+            return [(np.zeros(0, np.int64), *[np.zeros((0, len(CODES)), np.float32)] * 2)] * len(texts)
         starts = np.flatnonzero(np.concatenate([[True], cue[1:] != cue[:-1]]))
-        length = np.sqrt(np.add.reduceat(self.squares[ids], starts))
-        scores = np.add.reduceat(self.rows[ids], starts, axis=0) / np.maximum(length, 1e-9)[:, None]
+        sizes = self.ends[ids + 1] - self.ends[ids]
+        place = np.repeat(self.ends[ids] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+        length = self.model.lengths(np.repeat(number, sizes), self.grams[place], len(starts))
+        scores = np.add.reduceat(self.rows[ids], starts, axis=0) / length[:, None]
         by_language = np.stack([scores[:, own].max(1) if len(own) else np.full(len(starts), -1, np.float32) for own in self.languages], 1)
-        self._vote(by_language, ids, np.append(starts, len(ids)))
+        votes = self._vote(by_language, ids, np.append(starts, len(ids)))
         position, at = cue[starts], np.searchsorted(text[starts], np.arange(len(texts) + 1))
-        return [(position[a:b] - before[i], by_language[a:b]) for i, (a, b) in enumerate(zip(at, at[1:]))]
+        return [(position[a:b] - before[i], by_language[a:b], votes[a:b]) for i, (a, b) in enumerate(zip(at, at[1:]))]
 
-
-    def _vote(self, scores: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> None:
+    def _vote(self, scores: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        shares = np.zeros_like(scores)
         stop = (ids > 0) & (ids <= len(STOPS))
         inner = np.add.reduceat(stop & ~np.append(stop[1:], True), bounds[:-1]) > 0  # a stop before another word
         best = scores.argmax(1)
@@ -215,22 +245,25 @@ class Classifier:
             votes = np.bincount(language, letters, scores.shape[1])
             most = int(votes.argmax())
             if most != best[c] and votes[most] > votes[best[c]]:
-                scores[c, most], scores[c, best[c]] = scores[c, best[c]], scores[c, most]
+                shares[c] = votes / votes.sum()
+        return shares
 
 
-def decide(positions: np.ndarray, scores: np.ndarray, usual: float) -> tuple[int, float, list[tuple[int, int, float]]]:
+def decide(positions: np.ndarray, scores: np.ndarray, votes: np.ndarray, usual: float) -> tuple[int, float, list[tuple[int, int, float]]]:
     """Main language (-1: none), its share of the cues with a language, and (position, language, confidence) of foreign cues."""
     if not len(positions):
         return -1, 0.0, []
-    best = scores.argmax(1)
-    top = scores[np.arange(len(best)), best]
+    at = np.arange(len(positions))
+    voted = votes.max(1) > 0
+    top = scores.max(1)
+    best = np.where(voted, votes.argmax(1), scores.argmax(1))
     sure = top >= REJECT * usual
     if not sure.any():
         return -1, 0.0, []
-    votes = np.bincount(best[sure], minlength=scores.shape[1])
+    counts = np.bincount(best[sure], minlength=scores.shape[1])
     weight = np.array([top[sure & (best == i)].sum() for i in range(scores.shape[1])])
-    main = int(np.lexsort((weight, votes))[-1])
-    lead = (top - scores[:, main]) / np.maximum(top, 1e-9)
+    main = int(np.lexsort((weight, counts))[-1])
+    lead = np.where(voted, (votes[at, best] - votes[:, main]) / np.maximum(votes[at, best], 1e-9), (top - scores[:, main]) / np.maximum(top, 1e-9))
     strong = sure & (best != main) & (lead >= MARGIN)
     language = np.where(strong, best, -1)
     foreign = []
@@ -238,8 +271,8 @@ def decide(positions: np.ndarray, scores: np.ndarray, usual: float) -> tuple[int
         beside = {language[j] for j in (i - 1, i + 1) if 0 <= j < len(best)}
         if strong[i] or (best[i] in beside and lead[i] >= MARGIN_BESIDE):
             second = np.partition(scores[i], -2)[-2]
-            foreign.append((int(positions[i]), int(best[i]), float(top[i] / (top[i] + max(second, 0.0)))))
-    return main, float(votes[main] / votes.sum()), foreign
+            foreign.append((int(positions[i]), int(best[i]), float(votes[i, best[i]] if voted[i] else top[i] / (top[i] + max(second, 0.0)))))
+    return main, float(counts[main] / counts.sum()), foreign
 
 
 def fit(rows: list[tuple[str, str]]) -> Model | None:
@@ -278,6 +311,17 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     kept = np.sort(np.argsort(-df, kind="stable")[:FEATURES])
     idf = np.zeros(len(index))
     idf[kept] = np.log(1 + len(files) / df[kept])
+    # How often each n-gram is in each cue.
+    counts = bounds[word + 1] - bounds[word]
+    place = np.repeat(bounds[word] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+    key = np.repeat(cue, counts) * len(index) + gram[place]
+    del place, counts
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    often = np.diff(np.append(first, len(key))).astype(np.float32)
+    key = key[first]
+    in_cue, gram_there = (key // len(index)).astype(np.int32), (key % len(index)).astype(np.int32)
+    del key, first
     spoken = np.bincount(cue, minlength=n) > 0
     label = np.array([f[0] for f in files])[file]
     present = np.unique(label)
@@ -285,8 +329,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
     def weigh(factor: np.ndarray) -> None:
         nonlocal weights, length
         weights = (idf * factor)[gram]
-        square = np.bincount(of_word, weights**2, len(vocabulary))
-        length = np.sqrt(np.maximum(np.bincount(cue, square[word], n), 1e-9))
+        length = np.sqrt(np.maximum(np.bincount(in_cue, ((idf * factor)[gram_there] * often) ** 2, n), 1e-9))
 
     def centroid(cues: np.ndarray) -> np.ndarray:
         use = cues[cue]
@@ -336,8 +379,15 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
         usual.append(np.median(scores(np.stack(have), own).max(1)[own]))
         centroids += have
         of += [i] * len(have)
+    # Those that more cues of another language's files are nearest to, for its size, hold foreign passages.
+    near, of = scores(np.stack(centroids)), np.array(of)
+    size = np.maximum(np.bincount(label[spoken], minlength=len(CODES)), 1)
+    taken = near.argmax(1)
+    rates = np.stack([np.bincount(label[spoken & (taken == j)], minlength=len(CODES)) / size for j in range(len(of))])
+    right = rates[np.arange(len(of)), of] >= rates.max(1)
+    right |= ~np.isin(of, of[right])  # a language keeps what it has
+    near, of, centroids = near[:, right], list(of[right]), [c for c, r in zip(centroids, right) if r]
     # At last new ones for cues of trusted files that another language's centroids are as near to.
-    near, of = scores(np.stack(centroids)), list(of)
     for _ in range(REPAIRS):
         by = np.stack([near[:, np.flatnonzero(np.array(of) == i)].max(1) if i in of else np.full(n, -1.0) for i in present], 1)
         own = by[np.arange(n), np.searchsorted(present, label)]
@@ -346,7 +396,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
         new = []
         for i in present:
             cues = close & (label == i)
-            if cues.sum() >= max(3, 0.001 * (good & (label == i)).sum()):
+            if cues.sum() >= max(3, REPAIR_SHARE * (good & (label == i)).sum()):
                 like = scores(centroid(cues)[None], cues)[:, 0]
                 new.append(centroid(cues & (like >= np.quantile(like[cues], 0.6))))
                 of.append(i)
@@ -374,8 +424,8 @@ def _classify_udf(model):
                 out: list[tuple] = []
                 labels = some.column(1).to_pylist()
                 found = classify([cue_words(t.as_py()) for t in some.column(2)])
-                for key, label, (positions, scores) in zip(some.column(0).to_pylist(), labels, found):
-                    main, share, foreign = decide(positions, scores, m.usual)
+                for key, label, (positions, scores, votes) in zip(some.column(0).to_pylist(), labels, found):
+                    main, share, foreign = decide(positions, scores, votes, m.usual)
                     if main >= 0:
                         out.append((key, 0, CODES[main], share, label_language(label) != CODES[main]))
                         out += [(key, p, CODES[x], c, True) for p, x, c in foreign]
@@ -387,16 +437,26 @@ def _classify_udf(model):
     return run
 
 
+def label_code(label: Column) -> Column:
+    """:func:`label_language` as built-in functions."""
+    words = F.filter(F.split(F.lower(label), r"[^\p{L}]+"), lambda w: w != "")
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    later = F.filter(F.transform(F.filter(F.slice(words, 2, 1_000_000), lambda w: F.length(w) > 3), lambda w: F.try_element_at(named, w)), lambda c: c.isNotNull())
+    return F.when(F.size(words) > 0, F.coalesce(F.try_element_at(named, F.get(words, F.lit(0))), F.get(later, F.lit(0))))
+
+
 def sample(documents: DataFrame, files: int = SAMPLE_FILES) -> list[tuple[str, str]]:
-    """(label, text) of ``files`` labelled files at most, those whose ids have the least hashes."""
-    labels = [r.lang for r in documents.select("lang").distinct().where("lang is not null").limit(10_000).collect()]
-    known = [x for x in labels if label_language(x)]
-    order = F.xxhash64(F.col("doc_id"))
-    few = documents.where(F.col("lang").isin(known) & F.col("text").isNotNull()).select(order.alias("h")).orderBy("h").limit(files).agg(F.max("h")).first()[0]
-    if few is None:
+    """(label, text) of ``files`` labelled files of each language at most, those whose ids have the least hashes.
+
+    Each task puts out its own least ones of each language; a language of few files is in the sample with all of them.
+    """
+    named = documents.where("text is not null").select("lang", "text", label_code(F.col("lang")).alias("code"), F.xxhash64("doc_id").alias("h")).where("code is not null")
+    limits = named.select("code", "h").withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("h"))).where(F.col("r") <= files)
+    most = {r.code: r.m for r in limits.groupBy("code").agg(F.max("h").alias("m")).collect()}
+    if not most:
         return []
-    rows = documents.where(F.col("lang").isin(known) & F.col("text").isNotNull() & (order <= few)).select("lang", "text").limit(files).collect()
-    return [(r.lang, r.text) for r in rows]
+    chosen = reduce(lambda a, b: a | b, [(F.col("code") == c) & (F.col("h") <= m) for c, m in most.items()])
+    return [(r.lang, r.text) for r in named.where(chosen).orderBy("h", "text").limit(files * len(most)).collect()]
 
 
 def languages(documents: DataFrame, model: Model | None = None, files: int = SAMPLE_FILES) -> DataFrame:
@@ -405,7 +465,7 @@ def languages(documents: DataFrame, model: Model | None = None, files: int = SAM
 
     documents: ``doc_id, text, lang``. ``cue_pos`` counts the lines with ``-->`` from 1. Sound descriptions and adverts
     are no speech. ``confidence`` is the share of the cues for a file and, for a cue, the cosine of its language in that and
-    the runner-up's. ``differs``: the label names no language or another than the main one; true for cues. Files without
+    the runner-up's, or, where its sentences voted for another than the nearest language, the share of their letters. ``differs``: the label names no language or another than the main one; true for cues. Files without
     speech, empty and null texts have no row; equal or null ids stay separate files; other columns are ignored.
     """
     spark = documents.sparkSession

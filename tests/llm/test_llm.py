@@ -245,8 +245,8 @@ def test_languages(spark, labelled):
 def test_far_from_every_centroid(spark, labelled):
     model = language.fit([(label, text) for _, text, label in labelled])
     classify = language.Classifier(model)
-    [(positions, scores)] = classify([language.cue_words("1\n0:01 --> 0:02\nqwzx xzwq vbkj\n\n2\n0:03 --> 0:04\n...")])
-    assert positions.tolist() == [1] and language.decide(positions, scores, model.usual)[0] == -1
+    [(positions, scores, votes)] = classify([language.cue_words("1\n0:01 --> 0:02\nqwzx xzwq vbkj\n\n2\n0:03 --> 0:04\n...")])
+    assert positions.tolist() == [1] and language.decide(positions, scores, votes, model.usual)[0] == -1
     assert language.fit([("xx", "1\n0 --> 1\nHello")]) is None
 
 
