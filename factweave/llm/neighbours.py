@@ -29,7 +29,7 @@ from factweave.operators.vectors import SCOPE, accepted
 from factweave.plans.shared import cut
 
 #: Vectors a cell of the shared tree should have, and vectors that ask in one search task.
-CELL_ROWS, BLOCK_ROWS = 20_000, 20_000
+CELL_ROWS, BLOCK_ROWS = 20_000, 40_000
 #: Vectors sampled to place a scope's splits: for each cell, and in all; most levels of a scope's tree. Beyond
 #: CELL_ROWS << MAX_DEPTH vectors the cells of a scope have more rows and are searched in parts.
 SAMPLE_PER_CELL, SAMPLE_ROWS, MAX_DEPTH = 64, 400_000, 14
@@ -358,7 +358,7 @@ def _search_udf(k: int, sure: float):
     schema = pa.schema([("entity_id", pa.string()), ("scope_name", pa.string()), ("vec_id", pa.string()), ("other", pa.string()), ("distance", pa.float64())])
 
     def run(table: pa.Table) -> pa.Table:
-        asks, data = table.filter(pc.field("asks")), table.filter(~pc.field("asks")).sort_by("vec_id")
+        asks, data = table.filter(pc.field("role") >= ASKS), table.filter(pc.field("role") != ASKS).sort_by("vec_id")
         cosine = table.column("cosine")[0].as_py()
         v, x = (_scaled(_matrix(t.column("v")), cosine) for t in (data, asks))
         limit = asks.column("near_limit").to_numpy().astype(np.float64)
@@ -374,30 +374,41 @@ def _search_udf(k: int, sure: float):
     return run
 
 
-def _searched(homes: DataFrame, asks: DataFrame, k: int, cell_rows: int, block_rows: int, sure: float) -> DataFrame:
-    """The up to k nearest of each row of ``asks`` in each of its ``cells``.
+#: What a row is in a search task: one of the vectors searched, one that asks, or both.
+DATA, ASKS, BOTH = 0, 1, 2
+
+
+def _searched(homes: DataFrame, asks: DataFrame | None, k: int, cell_rows: int, block_rows: int, sure: float) -> DataFrame:
+    """The up to k nearest of each row of ``asks`` in each of its ``cells``; without ``asks``, of each row in its home cell.
 
     Rows of cells with more than twice ``cell_rows`` are dealt out to parts, all of which a query goes to, and queries of a
-    cell to blocks, each of which gets the cell's rows.
+    cell to blocks, each of which gets the cell's rows. A home cell that is one part and one block is sent once.
     """
     cell = [*SCOPE, "cell"]
-    goes = asks.select(*SCOPE, "vec_id", "v", "cosine", "near_limit", F.explode("cells").alias("cell"))
-    parts = homes.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * cell_rows)).alias("parts"))
-    blocks = asks.select(*SCOPE, F.explode("cells").alias("cell")).groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("blocks"))
-    sizes = parts.join(blocks, cell)
     salt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     columns = [*cell, "vec_id", "v", "cosine", "near_limit"]
-    data = homes.join(sizes, cell).select(*columns, F.lit(False).alias("asks"), salt("parts").alias("part"), every("blocks").alias("block"))
-    queries = goes.join(sizes, cell).select(*columns, F.lit(True).alias("asks"), every("parts").alias("part"), salt("blocks").alias("block"))
-    return data.unionByName(queries).groupBy(*cell, "part", "block").applyInArrow(_search_udf(k, sure), FOUND)
+    size = lambda df, rows, name: df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias(name))
+    of = lambda df, role, part, block: df.select(*columns, F.lit(role).alias("role"), part.alias("part"), block.alias("block"))
+    parts = size(homes, 2 * cell_rows, "parts")
+    if asks is None:
+        sizes, goes = parts.join(size(homes, block_rows, "blocks"), cell), homes
+        one = "parts = 1 and blocks = 1"
+    else:
+        goes = asks.withColumn("cell", F.explode("cells"))
+        sizes, one = parts.join(size(asks.select(*SCOPE, F.explode("cells").alias("cell")), block_rows, "blocks"), cell), "false"
+    data, queries, zero = homes.join(sizes, cell), goes.join(sizes, cell), F.lit(0).cast("bigint")
+    tasks = of(data.where(f"not ({one})"), DATA, salt("parts"), every("blocks")).unionByName(of(queries.where(f"not ({one})"), ASKS, every("parts"), salt("blocks")))
+    if asks is None:
+        tasks = tasks.unionByName(of(data.where(one), BOTH, zero, zero))
+    return tasks.groupBy(*cell, "part", "block").applyInArrow(_search_udf(k, sure), FOUND)
 
 
 def _nearest_reps(reps: DataFrame, k: int, cell_rows: int, block_rows: int, sure: float) -> DataFrame:
     """Up to k neighbours of each representative, and further ones from other cells: home cells, then batches of cells."""
     trees = _trees(reps, cell_rows)
     homes = cut(reps.mapInArrow(_homes_udf(trees), f"{REP}, cell bigint"), "homes")
-    found = cut(_searched(homes, homes.withColumn("cells", F.array("cell")), k, cell_rows, block_rows, sure), "neighbours")
+    found = cut(_searched(homes, None, k, cell_rows, block_rows, sure), "neighbours")
     boxes = _boxes(homes, trees) if trees else {}
     start, step, open_ = 0, FIRST_CELLS, homes
     while trees:
