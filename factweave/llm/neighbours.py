@@ -274,15 +274,16 @@ REP = "entity_id string, scope_name string, vec_id string, v array<float>, cosin
 
 
 def _homes_udf(trees):
-    """Adds the home cell."""
+    """Adds the home cell, and whether the scope has ``several``."""
 
     def run(batches):
         for b in batches:
-            cell = np.zeros(b.num_rows, np.int64)
+            cell, several = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, bool)
             for (entity, scope, cosine), rows in _groups(b, [*SCOPE, "cosine"]):
                 if tree := trees.get((entity, scope)):
+                    several[rows] = True
                     cell[rows] = home_cells(tree, _projected(b.take(pa.array(rows)), cosine))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(several)], [*b.schema.names, "cell", "several"])
 
     return run
 
@@ -382,7 +383,8 @@ def _searched(homes: DataFrame, asks: DataFrame | None, k: int, cell_rows: int,
     """The up to k nearest of each row of ``asks`` in each of its ``cells``; without ``asks``, of each row in its home cell.
 
     Rows of cells with more than twice ``cell_rows`` are dealt out to parts, all of which a query goes to, and queries of a
-    cell to blocks, each of which gets the cell's rows. A home cell that is one part and one block is sent once.
+    cell to blocks, each of which gets the cell's rows. A home cell that is one part and one block is sent once, and a scope of
+    one cell isn't counted.
     """
     cell = [*SCOPE, "cell"]
     salt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col(n))
@@ -390,6 +392,7 @@ def _searched(homes: DataFrame, asks: DataFrame | None, k: int, cell_rows: int,
     columns = [*cell, "vec_id", "v", "cosine", "near_limit"]
     size = lambda df, rows, name: df.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias(name))
     of = lambda df, role, part, block: df.select(*columns, F.lit(role).alias("role"), part.alias("part"), block.alias("block"))
+    whole, homes = homes.where("not several"), homes.where("several")
     parts = size(homes, 2 * cell_rows, "parts")
     if asks is None:
         sizes, goes = parts.join(size(homes, block_rows, "blocks"), cell), homes
@@ -400,20 +403,20 @@ def _searched(homes: DataFrame, asks: DataFrame | None, k: int, cell_rows: int,
     data, queries, zero = homes.join(sizes, cell), goes.join(sizes, cell), F.lit(0).cast("bigint")
     tasks = of(data.where(f"not ({one})"), DATA, salt("parts"), every("blocks")).unionByName(of(queries.where(f"not ({one})"), ASKS, every("parts"), salt("blocks")))
     if asks is None:
-        tasks = tasks.unionByName(of(data.where(one), BOTH, zero, zero))
+        tasks = tasks.unionByName(of(data.where(one), BOTH, zero, zero)).unionByName(of(whole, BOTH, zero, zero))
     return tasks.groupBy(*cell, "part", "block").applyInArrow(_search_udf(k, sure), FOUND)
 
 
 def _nearest_reps(reps: DataFrame, k: int, cell_rows: int, block_rows: int, sure: float) -> DataFrame:
     """Up to k neighbours of each representative, and further ones from other cells: home cells, then batches of cells."""
     trees = _trees(reps, cell_rows)
-    homes = cut(reps.mapInArrow(_homes_udf(trees), f"{REP}, cell bigint"), "homes")
+    homes = cut(reps.mapInArrow(_homes_udf(trees), f"{REP}, cell bigint, several boolean"), "homes")
     found = cut(_searched(homes, None, k, cell_rows, block_rows, sure), "neighbours")
     boxes = _boxes(homes, trees) if trees else {}
-    start, step, open_ = 0, FIRST_CELLS, homes
+    start, step, open_ = 0, FIRST_CELLS, homes.where("several")
     while trees:
         kth = found.groupBy(*SCOPE, "vec_id").agg(F.try_element_at(F.array_sort(F.collect_list("distance")), F.lit(k)).alias("kth"))
-        nearer = open_.join(kth, [*SCOPE, "vec_id"], "left").withColumn("near_limit", F.least("near_limit", "kth")).select(*homes.columns)
+        nearer = open_.join(kth, [*SCOPE, "vec_id"], "left").withColumn("near_limit", F.least("near_limit", "kth")).select(*[c for c in homes.columns if c != "several"])
         asks = cut(nearer.mapInArrow(_visits_udf(trees, boxes, start, start + step), f"{REP}, cells array<bigint>, more boolean"), "visits")
         if asks.isEmpty():
             break
