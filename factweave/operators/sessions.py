@@ -2,8 +2,9 @@
 
 Every stretch of activity puts +1 at its first instant and -1 at its last plus the gap. Where the running sum of a key comes
 back to zero, a session closes. Entries of a key within one bucket of time as wide as the gap are always of one session, so
-each bucket is one stretch: its ends and its number of entries are aggregated before the sweep, combined in each task
-before the shuffle. A key has at most (time span / gap) stretches however many rows it has.
+each bucket is one stretch: its ends and its number of entries are aggregated before the sweep. Rows are shuffled once, by key
+and bucket, so a hot key is as many tasks as it has buckets; only stretches, of which a key has at most (time span / gap)
+however many rows it has, are shuffled by key.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def sessions(entries: DataFrame, keys: Sequence[str], at: str, identity: str, ga
     rows = entries.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(at).alias("t"), F.col(identity).alias("id")).where(" and ".join(f"{c} is not null" for c in [*names, "t", "id"])).where(F.col("t") <= 2**63 - 1 - gap_ns)
     width = max(1, gap_ns)
     bucket = F.expr(f"t div {width}L - case when t < 0 and t % {width}L <> 0 then 1 else 0 end")
-    once = rows.groupBy(*names, bucket.alias("bucket"), "id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    rows = rows.withColumn("bucket", bucket).repartition(*names, "bucket")
+    once = rows.groupBy(*names, "bucket", "id").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     stretches = once.groupBy(*names, "bucket").agg(F.min("lo").alias("lo"), (F.max("hi") + gap_ns).alias("hi"), F.count(F.lit(1)).alias("n"))
     deltas = stretches.select(
         *names, F.inline(F.array(
