@@ -55,7 +55,7 @@ def asof_join(events: DataFrame, versions: DataFrame, rows_per_bucket: int = ROW
     e = events.select(F.col("id").cast("bigint").alias("id"), *KEYS, "at_ns").where("id is not null and entity_id is not null and doc_id is not null and at_ns is not null")
     v = versions.select("seq", *KEYS, "at_ns", "live").where("seq is not null and entity_id is not null and doc_id is not null and at_ns is not null")
     both = e.select(*KEYS, "at_ns").unionByName(v.select(*KEYS, "at_ns"))
-    points, total = skew.split_points(both, KEYS, "at_ns", rows_per_bucket)
+    points, total, _ = skew.split_points(both, KEYS, "at_ns", rows_per_bucket)
     rows = e.withColumn("seq", F.lit(None).cast("bigint")).withColumn("live", F.lit(None).cast("boolean")).unionByName(v.withColumn("id", F.lit(None).cast("bigint")))
     rows = skew.with_chunk(rows, KEYS, "at_ns", points)
     columns = ["id", *KEYS, "at_ns", "seq", "live", skew.CHUNK]

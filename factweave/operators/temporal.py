@@ -80,7 +80,7 @@ def clusters(events: DataFrame, types: Sequence[str], window_ns: int, min_size:
         w = Window.partitionBy(*ITEM)
         enough = rows.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*ITEM)
         return rows.join(enough, ITEM, "left_semi").select(*ITEM, F.lit(1).cast("bigint").alias("cluster_no"), F.row_number().over(w.orderBy("at_ns", "doc_id")).cast("bigint").alias("pos"), "at_ns", "doc_id")
-    points, _ = skew.split_points(rows, ITEM, "at_ns", rows_per_chunk)
+    points, _, _ = skew.split_points(rows, ITEM, "at_ns", rows_per_chunk)
     if points is None:
         return _streamed(rows, window_ns, least)
     rows = skew.with_chunk(rows, ITEM, "at_ns", points)

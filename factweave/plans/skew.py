@@ -22,13 +22,13 @@ CHUNK, SPLIT = "__chunk", "__split"
 STRIDE = 64
 
 
-def split_points(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame | None, int]:
-    """Keys with more than ``rows_per_chunk`` rows and the order values at which to split them (None if there are none); the number of rows."""
+def split_points(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame | None, int, int]:
+    """Keys with more than ``rows_per_chunk`` rows and the order values at which to split them (None if there are none); the number of rows; the most of a key."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     summary = sizes.agg(F.coalesce(F.count_if(F.col("__n") > rows_per_chunk), F.lit(0)), F.max("__n"), F.coalesce(F.sum("__n"), F.lit(0))).first()
     if not summary[0]:
-        return None, summary[2]
+        return None, summary[2], summary[1] or 0
     sizes = sizes.where(F.col("__n") > rows_per_chunk)
     pieces = min(MAX_PIECES, -(-summary[1] // rows_per_chunk))
     few = F.broadcast(sizes) if summary[0] <= 10_000 else sizes
@@ -39,7 +39,7 @@ def split_points(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk:
         hot.groupBy(*keys).agg(quantiles.alias("__q"), F.first("__n").alias("__n")).withColumn("__step", step)
         .withColumn(SPLIT, F.array_distinct(F.expr("filter(__q, (x, i) -> (i + 1) % __step = 0)"))).select(*keys, SPLIT)
     )
-    return points, summary[2]
+    return points, summary[2], summary[1]
 
 
 def with_chunk(df: DataFrame, keys: Sequence[str], order: str, points: DataFrame | None) -> DataFrame:
