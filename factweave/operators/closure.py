@@ -1,10 +1,11 @@
-"""Hierarchies of ``child, parent`` edges: ancestors, descendants, trees."""
+"""Hierarchies of ``child, parent`` edges of one tenant, or of all with an ``entity_id``: ancestors, descendants, trees."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.functions.json import parsed, text_of, top
 from factweave.plans.shared import cut
 
 #: Fixed value: the store's cap on the depth of a hierarchy.
@@ -34,16 +35,26 @@ def _walk(edges: DataFrame, start: DataFrame, up: bool) -> DataFrame:
     return found if found is not None else start.sparkSession.createDataFrame([], "node string, depth int")
 
 
-def ancestors(edges: DataFrame, node: str) -> DataFrame:
+def _of(edges: DataFrame, entity_id: str | None) -> DataFrame:
+    return edges if entity_id is None else edges.where(F.col("entity_id") == entity_id)
+
+
+def body_edges(docs: DataFrame, attribute: str = "parent") -> DataFrame:
+    """``entity_id, child, parent`` of JSON documents ``entity_id, doc_id, body`` whose top-level ``attribute`` is a text."""
+    rows = parsed(docs, "body", "__v").select("entity_id", F.col("doc_id").alias("child"), text_of(top(F.col("__v"), attribute)).alias("parent"))
+    return rows.where("coalesce(parent, '') <> ''")
+
+
+def ancestors(edges: DataFrame, node: str, entity_id: str | None = None) -> DataFrame:
     """``node, depth``: the chain from the immediate parent (depth 1) to the root; none for a root or an unknown node."""
     start = edges.sparkSession.createDataFrame([(node,)], "node string")
-    return _walk(edges, start, True).where(F.col("node") != node)
+    return _walk(_of(edges, entity_id), start, True).where(F.col("node") != node)
 
 
-def descendants(edges: DataFrame, root: str) -> DataFrame:
+def descendants(edges: DataFrame, root: str, entity_id: str | None = None) -> DataFrame:
     """``node, depth``: every node below ``root``, without it."""
     start = edges.sparkSession.createDataFrame([(root,)], "node string")
-    return _walk(edges, start, False).where(F.col("node") != root)
+    return _walk(_of(edges, entity_id), start, False).where(F.col("node") != root)
 
 
 def category_in_tree(edges: DataFrame, root: str) -> DataFrame:

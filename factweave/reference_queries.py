@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factweave.operators import closure, lookup, store, temporal, vectors
 from factweave.operators.query import matching, pull, query, query_as_of
 from factweave.plans import wire
+from factweave.plans.shared import fresh_dir
 from factweave.plans.clauses import Aggregate, FullText, Not, Or, Pattern, Predicate, RuleCall
 from factweave.sources import views
 from factweave.sources.tables import table
@@ -543,6 +544,27 @@ def oplog_tail(spark: SparkSession, d: str) -> DataFrame:
     return feed.tail(log, log.agg(F.max("seq")).first()[0] - 99).select("seq", "entity_id", "doc_id")
 
 
+def _replica(spark: SparkSession, d: str) -> tuple[feed.Replica, DataFrame]:
+    """A replica from a snapshot of the log's first half, then caught up with a log trimmed to a bit more than the rest."""
+    log = table(spark, d, "doc_version")
+    last = log.agg(F.max("seq")).first()[0] or 0
+    feed.write_snapshot(feed.replay(log.where(F.col("seq") <= last // 2)), last // 2, path := fresh_dir(spark, "snapshot"))
+    replica, rest = feed.Replica(spark, fresh_dir(spark, "replica")), feed.trim(log, last - last // 2 + 1000)
+    replica.catch_up(rest, path)
+    return replica, rest
+
+
+@registered("select entity_id, doc_id, seq, body from (select * from doc_version qualify row_number() over (partition by entity_id, doc_id order by seq desc) = 1) where not coalesce(deleted, false)")
+def replica_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _replica(spark, d)[0].documents()
+
+
+@registered("select max(seq) as current_seq, min(seq) as min_seq, max(seq) as applied_seq from (select seq from doc_version where seq > (select max(seq) // 2 - 1000 from doc_version))")
+def replica_status(spark: SparkSession, d: str) -> DataFrame:
+    replica, rest = _replica(spark, d)
+    return replica.status(rest)
+
+
 @registered("select max(seq) as current_seq, min(seq) as min_seq, cast(0 as bigint) as applied_seq from doc_version")
 def oplog_status(spark: SparkSession, d: str) -> DataFrame:
     return feed.status(table(spark, d, "doc_version"))

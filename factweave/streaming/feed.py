@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factweave.operators.cdc import CurrentState
+from factweave.plans.shared import SharedFiles
 
 KEYS = ["entity_id", "doc_id"]
 #: Rows of one DataFrame that a stream's step puts out.
@@ -79,6 +82,84 @@ def status(log: DataFrame, applied: int = 0) -> DataFrame:
     return log.agg(F.max("seq").alias("current_seq"), F.min("seq").alias("min_seq")).withColumn("applied_seq", F.lit(applied).cast("bigint"))
 
 
+def write_snapshot(documents: DataFrame, seq: int, path: str) -> None:
+    """The documents ``entity_id, doc_id, seq, body`` as they stood after entry ``seq``, complete once its header is there."""
+    documents.select(*KEYS, "seq", "body").write.parquet(f"{path}/documents")
+    SharedFiles(documents.sparkSession).publish_json(f"{path}/HEADER", {"seq": seq})
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(documents, the last entry in them) of :func:`write_snapshot`; raises LookupError if it isn't complete."""
+    header = SharedFiles(spark).read_json(f"{path}/HEADER")
+    if header is None:
+        raise LookupError("there is no snapshot")
+    return spark.read.schema("entity_id string, doc_id string, seq bigint, body string").parquet(f"{path}/documents"), header["seq"]
+
+
+class Replica:
+    """A read-only copy of a store, kept below ``root`` by a snapshot and the entries of the log behind it.
+
+    The last entry applied is published with the documents that it led to, so an attempt that fails is done again from
+    where the last one ended, and entries given twice change nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.files = spark, root, SharedFiles(spark)
+
+    def _state(self) -> CurrentState | None:
+        copy = self.files.read_json(f"{self.root}/COPY")
+        return CurrentState(self.spark, f"{self.root}/{copy['of']}") if copy else None
+
+    def applied_seq(self) -> int | None:
+        """The last entry applied; None before the first snapshot."""
+        state = self._state()
+        return state.manifest()["with"]["applied_seq"] if state else None
+
+    def documents(self) -> DataFrame:
+        """``entity_id, doc_id, seq, body`` of the documents that exist here."""
+        state = self._state()
+        rows = self.spark.createDataFrame([], "entity_id string, doc_id string, seq bigint, body string")
+        return state.documents().select(*KEYS, "seq", F.col("new_doc").alias("body")) if state else rows
+
+    def bootstrap(self, snapshot: str) -> None:
+        """Begins anew from a snapshot; what was here stays current until the new copy is complete."""
+        documents, seq = read_snapshot(self.spark, snapshot)
+        before, name = self.files.read_json(f"{self.root}/COPY"), f"copy-{uuid.uuid4().hex}"
+        CurrentState(self.spark, f"{self.root}/{name}").apply(_as_changes(documents.withColumn("deleted", F.lit(False))), publish={"applied_seq": seq})
+        self.files.publish_json(f"{self.root}/COPY", {"of": name})
+        if before:
+            self.files.delete(f"{self.root}/{before['of']}")
+
+    def catch_up(self, log: DataFrame, snapshot: str) -> None:
+        """Applies the entries behind the last one applied; at first, or if the log no longer has them, from ``snapshot`` on."""
+        if self.applied_seq() is None:
+            self.bootstrap(snapshot)
+        try:
+            entries = tail(log, self.applied_seq() + 1)
+        except LookupError:
+            self.bootstrap(snapshot)
+            entries = tail(log, self.applied_seq() + 1)
+        last = entries.agg(F.max("seq")).first()[0]
+        if last is not None:
+            self._state().apply(_as_changes(entries), publish={"applied_seq": last})
+
+    def status(self, log: DataFrame) -> DataFrame:
+        """``current_seq, min_seq, applied_seq`` of the log and this copy of it."""
+        return status(log, self.applied_seq() or 0)
+
+    def put(self, *_) -> None:
+        """Writes are rejected."""
+        raise PermissionError("a replica is read-only")
+
+    delete = batch_put = put
+
+
+def _as_changes(entries: DataFrame) -> DataFrame:
+    """Entries of the log, in the order of ``seq``, as changes of :class:`CurrentState`."""
+    kind = F.when(F.coalesce("deleted", F.lit(False)), "retract").otherwise("change")
+    return entries.select(*KEYS, "seq", F.col("seq").alias("at_unix_nanos"), kind.alias("kind"), F.col("body").alias("new_doc"))
+
+
 def follow(feed: DataFrame, state: CurrentState, checkpoint: str) -> StreamingQuery:
     """Keeps ``state`` up to date with a stream of changes (columns of :func:`factweave.operators.cdc.document_changes`).
 

@@ -517,3 +517,33 @@ def test_vectors_by_scope_and_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 15)
     monkeypatch.setattr(vectors, "VECTOR_PART", 50)
     assert rows(vectors.search(v, q, 4).select("query_id", "vec_id", "rank")) == whole and len(whole) == 160
+
+
+def test_replica(spark):
+    log = [(i + 1, "t", f"d{i % 7}", i % 5 == 4, None if i % 5 == 4 else f"b{i}") for i in range(40)]
+    make = lambda x: spark.createDataFrame(x, "seq bigint, entity_id string, doc_id string, deleted boolean, body string")
+    want = lambda n: rows(feed.replay(make(log[:n])).select("doc_id", "seq", "body"))
+    have = lambda r: rows(r.documents().select("doc_id", "seq", "body"))
+    early, late = fresh_dir(spark, "s"), fresh_dir(spark, "s")
+    feed.write_snapshot(feed.replay(make(log[:10])), 10, early)
+    feed.write_snapshot(feed.replay(make(log[:35])), 35, late)
+    r = feed.Replica(spark, fresh_dir(spark, "r"))
+    assert r.applied_seq() is None and have(r) == []
+    with pytest.raises(LookupError):
+        r.catch_up(make(log), fresh_dir(spark, "none"))
+    r.catch_up(make(log[:20]), early)
+    assert r.applied_seq() == 20 and have(r) == want(20)
+    r.catch_up(make(log[12:25]), early)
+    r.catch_up(make(log[12:25]), early)  # again
+    assert r.applied_seq() == 25 and have(r) == want(25)
+    r.catch_up(make(log[30:]), late)  # the log no longer has what comes next
+    assert r.status(make(log[30:])).first()[:] == (40, 31, 40) and have(r) == want(40)
+    with pytest.raises(PermissionError):
+        r.put("t", "d", "{}")
+
+
+def test_hierarchy_of_a_tenant(spark):
+    d = docs(spark, {"BigRigs": '{"parent":"Trucks"}', "Trucks": '{"parent":"Vehicles"}', "Sedans": '{"parent":"Vehicles"}', "Vehicles": "{}", "x": '{"parent":7}', "y": '{"parent":""}', "z": None})
+    edges = closure.body_edges(d.unionByName(spark.createDataFrame([("other", "Trucks", '{"parent":"Toys"}')], "entity_id string, doc_id string, body string")))
+    assert [r.node for r in closure.ancestors(edges, "BigRigs", "tenant-a").orderBy("depth").collect()] == ["Trucks", "Vehicles"]
+    assert ids(closure.descendants(edges, "Vehicles", "tenant-a")) == ["BigRigs", "Sedans", "Trucks"] and ids(closure.descendants(edges, "Toys", "tenant-a")) == []
