@@ -545,12 +545,11 @@ def oplog_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replica(spark: SparkSession, d: str) -> tuple[feed.Replica, DataFrame]:
-    """A replica from a snapshot of the log's first half, then caught up with a log trimmed to a bit more than the rest."""
+    """A replica from a snapshot of the log's first 1,000 numbers, then caught up with a log trimmed behind number 900."""
     log = table(spark, d, "doc_version")
-    last = log.agg(F.max("seq")).first()[0] or 0
-    feed.write_snapshot(feed.replay(log.where(F.col("seq") <= last // 2)), last // 2, path := fresh_dir(spark, "snapshot"))
-    replica, rest = feed.Replica(spark, fresh_dir(spark, "replica")), feed.trim(log, last - last // 2 + 1000)
-    replica.catch_up(rest, path)
+    feed.write_snapshot(feed.replay(log.where("seq <= 1000")), 1000, path := fresh_dir(spark, "snapshot"))
+    replica, rest = feed.Replica(spark, fresh_dir(spark, "replica")), feed.trim(log, log.agg(F.max("seq")).first()[0] - 900)
+    replica.catch_up(rest, path, min_seq=901)
     return replica, rest
 
 
@@ -559,7 +558,7 @@ def replica_documents(spark: SparkSession, d: str) -> DataFrame:
     return _replica(spark, d)[0].documents()
 
 
-@registered("select max(seq) as current_seq, min(seq) as min_seq, max(seq) as applied_seq from (select seq from doc_version where seq > (select max(seq) // 2 - 1000 from doc_version))")
+@registered("select max(seq) as current_seq, min(seq) as min_seq, max(seq) as applied_seq from doc_version where seq > 900")
 def replica_status(spark: SparkSession, d: str) -> DataFrame:
     replica, rest = _replica(spark, d)
     return replica.status(rest)

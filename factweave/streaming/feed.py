@@ -57,9 +57,13 @@ def number(writes: DataFrame, after: int = 0) -> DataFrame:
     return ranged.withColumn("seq", (starts[F.col("__part")] + F.row_number().over(w)).cast("bigint")).drop("__part")
 
 
-def tail(log: DataFrame, from_seq: int) -> DataFrame:
-    """The entries from ``from_seq`` on; raises LookupError if entries before the log's first are asked for."""
-    first = log.agg(F.min("seq")).first()[0]
+def tail(log: DataFrame, from_seq: int, min_seq: int | None = None) -> DataFrame:
+    """The entries from ``from_seq`` on; raises LookupError if entries before ``min_seq`` are asked for.
+
+    ``min_seq`` is the least number that :func:`trim` would have left; by default that of the log's first entry, as in a log
+    without gaps.
+    """
+    first = log.agg(F.min("seq")).first()[0] if min_seq is None else min_seq
     if first is not None and from_seq < first:
         raise LookupError("the log is trimmed; a snapshot is needed")
     return log.where(F.col("seq") >= from_seq).orderBy("seq")
@@ -130,15 +134,15 @@ class Replica:
         if before:
             self.files.delete(f"{self.root}/{before['of']}")
 
-    def catch_up(self, log: DataFrame, snapshot: str) -> None:
+    def catch_up(self, log: DataFrame, snapshot: str, min_seq: int | None = None) -> None:
         """Applies the entries behind the last one applied; at first, or if the log no longer has them, from ``snapshot`` on."""
         if self.applied_seq() is None:
             self.bootstrap(snapshot)
         try:
-            entries = tail(log, self.applied_seq() + 1)
+            entries = tail(log, self.applied_seq() + 1, min_seq)
         except LookupError:
             self.bootstrap(snapshot)
-            entries = tail(log, self.applied_seq() + 1)
+            entries = tail(log, self.applied_seq() + 1, min_seq)
         last = entries.agg(F.max("seq")).first()[0]
         if last is not None:
             self._state().apply(_as_changes(entries), publish={"applied_seq": last})
