@@ -10,19 +10,40 @@ from factweave.plans.shared import cut
 
 #: Fixed value: the store's cap on the depth of a hierarchy.
 DEPTH = 256
+#: Nodes of a level that the driver keeps at most; of all such levels DEPTH times as many.
+FEW = 1000
 
 
 def _walk(edges: DataFrame, start: DataFrame, up: bool) -> DataFrame:
     """``node, depth`` of all nodes above (below) the ``node`` of ``start``, level by level until a level is empty.
 
-    Each level is one join of the last level with the edges. Levels are written to the shared folder, so lineage doesn't
-    grow; a node seen before isn't walked again, so cycles end. Raises if there are nodes below (above) level DEPTH.
+    A level of at most FEW nodes is a filter on the edges, and its nodes are kept in the driver; from the first larger one on,
+    each level is a join of the last one with the edges, written to the shared folder, so lineage doesn't grow. A node seen
+    before isn't walked again, so cycles end. Raises if there are nodes below (above) level DEPTH.
     """
     e = edges.where("child is not null and parent is not null").select("child", "parent").distinct()
     here, there = ("child", "parent") if up else ("parent", "child")
     e = cut(e.select(F.col(here).alias("here"), F.col(there).alias("there")), "edges")
-    level, found = start.select(F.col("node"), F.lit(0).alias("depth")), None
-    for depth in range(1, DEPTH + 2):
+    level, found, begin = start.select(F.col("node"), F.lit(0).alias("depth")), None, 1
+    nodes, seen = [r.node for r in level.limit(FEW + 1).collect()], {}
+    while nodes and len(nodes) <= FEW:
+        nxt = e.where(F.col("here").isin(nodes)).select("there").distinct().limit(len(seen) + FEW + 1).collect()
+        new = [r.there for r in nxt if r.there not in seen]
+        if not new:
+            nodes = []
+            break
+        if len(new) > FEW:
+            break  # the level is walked again below, as a whole
+        if begin > DEPTH:
+            raise ValueError(f"the hierarchy is deeper than {DEPTH}")
+        seen |= dict.fromkeys(new, begin)
+        nodes, begin = new, begin + 1
+    if seen:
+        found = start.sparkSession.createDataFrame(list(seen.items()), "node string, depth int")
+        level = found.where(F.col("depth") == begin - 1)
+    if not nodes:
+        return found if found is not None else start.sparkSession.createDataFrame([], "node string, depth int")
+    for depth in range(begin, DEPTH + 2):
         nxt = level.join(e, level["node"] == e["here"]).select(F.col("there").alias("node"), F.lit(depth).alias("depth")).distinct()
         if found is not None:
             nxt = nxt.join(found.select("node"), "node", "left_anti")

@@ -167,6 +167,22 @@ def test_pull_and_rules(spark):
     assert ids(closure.ancestors(cycle, "a")) == ["b"]
 
 
+@pytest.mark.parametrize("few", [0, 1, 3, 1000])
+def test_walk_with_small_and_large_levels(spark, monkeypatch, few):
+    monkeypatch.setattr(closure, "FEW", few)
+    r = random.Random(5)
+    pairs = [(f"n{i}", f"n{r.randrange(max(0, i - 6), i)}") for i in range(1, 40)] + [("n3", "n9"), ("n0", "n20")]
+    edges = spark.createDataFrame(pairs, "child string, parent string")
+    for up, start in ((True, "n30"), (False, "n0"), (False, "n5"), (True, "none")):
+        level, want, depth = {start}, {}, 0
+        while level:
+            depth += 1
+            level = {b if up else a for a, b in pairs if (a if up else b) in level} - set(want)
+            want |= dict.fromkeys(level, depth)
+        want.pop(start, None)
+        assert rows((closure.ancestors if up else closure.descendants)(edges, start)) == sorted(want.items(), key=repr), (few, start)
+
+
 def test_walk_of_a_deep_hierarchy(spark, monkeypatch):
     monkeypatch.setattr(closure, "DEPTH", 3)
     chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(4)], "child string, parent string")
