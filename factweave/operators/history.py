@@ -42,7 +42,7 @@ def satellite_of(versions: DataFrame) -> dict[str, int]:
 
 SATELLITES = len(RATES) + 2
 ROW = "entity_id string, doc_id string, at_ns bigint, seq bigint, live boolean, hash bigint, attributes string, first boolean, satellite int"
-LAST = "entity_id string, doc_id string, at_ns bigint, seq bigint"
+LAST = "entity_id string, doc_id string, at_ns bigint, seq bigint, n bigint"
 
 
 class Satellites:
@@ -88,7 +88,11 @@ class Satellites:
         rows = rows.withColumn("stored", F.lit(False))
         if done["loads"]:
             rows = self._after(rows)
-        points, _, most = skew.split_points(versions, KEYS, "at_ns", self.rows_per_chunk)
+        load = uuid.uuid4().hex
+        last = versions.groupBy(*KEYS).agg(F.max(F.struct("at_ns", "seq")).alias("m"), F.count(F.lit(1)).alias("n"))
+        last.select(*KEYS, "m.at_ns", "m.seq", "n").write.parquet(f"{self.root}/last/load={load}")
+        sizes = self.spark.read.schema(LAST).parquet(f"{self.root}/last/load={load}").select(*KEYS, F.col("n").alias("__n"))
+        points, _, most = skew.split_points(versions, KEYS, "at_ns", self.rows_per_chunk, sizes)
         split = points is not None
         rows = skew.with_chunk(rows, KEYS, "at_ns", points)
         if not split:
@@ -102,10 +106,7 @@ class Satellites:
         added = F.filter(F.array(*[F.when(d, F.struct(F.lit(i).alias("satellite"), F.col("state")[i].alias("hash"), F.col("parts")[i].alias("attributes"))) for i, d in enumerate(differs)]), lambda x: x.isNotNull())
         appended = held.where("not stored").select(*KEYS, "at_ns", "seq", "live", F.posexplode(added).alias("place", "a"))
         appended = appended.select(*KEYS, "at_ns", "seq", "live", F.when(F.col("live"), F.col("a.hash")).alias("hash"), F.when(F.col("live"), F.col("a.attributes")).alias("attributes"), (F.col("place") == 0).alias("first"), "a.satellite")
-        load = uuid.uuid4().hex
         appended.write.partitionBy("satellite").parquet(f"{self.root}/rows/load={load}")
-        last = versions.groupBy(*KEYS).agg(F.max(F.struct("at_ns", "seq")).alias("m"))
-        last.select(*KEYS, "m.at_ns", "m.seq").write.parquet(f"{self.root}/last/load={load}")
         self.files.publish_json(f"{self.root}/LOADS", {"loads": [*done["loads"], load], "assignment": assignment, "most": done["most"] + most})
 
     def _after(self, rows: DataFrame) -> DataFrame:

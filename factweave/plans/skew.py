@@ -22,10 +22,13 @@ CHUNK, SPLIT = "__chunk", "__split"
 STRIDE = 64
 
 
-def split_points(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame | None, int, int]:
-    """Keys with more than ``rows_per_chunk`` rows and the order values at which to split them (None if there are none); the number of rows; the most of a key."""
+def split_points(df: DataFrame, keys: Sequence[str], order: str, rows_per_chunk: int = ROWS_PER_CHUNK, sizes: DataFrame | None = None) -> tuple[DataFrame | None, int, int]:
+    """Keys with more than ``rows_per_chunk`` rows and the order values at which to split them (None if there are none); the number of rows; the most of a key.
+
+    ``sizes``: the keys with their numbers of rows as ``__n``, if they are known.
+    """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")) if sizes is None else sizes
     summary = sizes.agg(F.coalesce(F.count_if(F.col("__n") > rows_per_chunk), F.lit(0)), F.max("__n"), F.coalesce(F.sum("__n"), F.lit(0))).first()
     if not summary[0]:
         return None, summary[2], summary[1] or 0
